@@ -4,9 +4,10 @@ Texts with equal shingle sets are one class. A class is sketched by ``COORDINATE
 of its tokens. Each run of the join starts a tree at the set of all classes: a node draws coordinates
 at random, each with probability 1 / (similarity * COORDINATES), and splits its classes by their value
 there, so a pair at the threshold meets in one child on average and dissimilar classes part. Nodes of
-at most ``BUCKET`` classes are brute-forced on sketches; larger ones are split again, and what is still
-large after ``LEVELS`` is swept by pivots: classes near a pivot join its canopy, loosely enough that
-no link is lost, until none is left. ``RUNS`` trees repeat this.
+at most ``BUCKET`` classes are brute-forced on sketches. A larger one is first swept by pivots drawn from
+it: classes near a pivot join its canopy, loosely enough that no link is lost, and leave the node, so
+a large group of near copies is not split over and over. The rest is split again; what is left after
+``LEVELS`` is swept until nothing is. ``RUNS`` trees repeat this.
 
 Sketches only propose: they link a class to its bucket's least like class, so a group costs as many
 rows as it has classes. Proposals make families (connected components); each family's shingle sets meet
@@ -88,6 +89,7 @@ def shingle_sets(texts: Texts) -> list[np.ndarray]:
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
+    """The min-hashes of a set, in 32 bits."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
     out = np.full(COORDINATES, 0xFFFFFFFF, np.uint32)
     for a in range(0, len(x), 2048):
@@ -102,34 +104,42 @@ def fingerprint(shingles: np.ndarray) -> bytes | None:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
 
 
+_AT = np.array([i for _, i in ROOTS])
+_SALT = mix(np.array([r for r, _ in ROOTS], np.uint64) * np.uint64(1009) + _AT.astype(np.uint64) + np.uint64(1))
+
+
+def _described(shingles: np.ndarray) -> tuple[bytes, bytes]:
+    """A set's root buckets, and its sketch in a byte for each coordinate."""
+    x = sketch(shingles)
+    return mix(x[_AT].astype(np.uint64) + _SALT).tobytes(), x.astype(np.uint8).tobytes()
+
+
 def _sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text"):
-            prints, sketches, last = [], [], {}
+            prints, described, last = [], [], {}
             for s in shingle_sets(Texts(batch.column(1))):
                 f = fingerprint(s)
                 prints.append(f)
                 if f is not None and f not in last:
-                    last[f] = sketch(s).tobytes()
-                sketches.append(last.get(f))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "fp", "sketch"])
+                    last[f] = _described(s)
+                described.append(last.get(f, (None, None)))
+            roots, sketches = (pa.array([d[k] for d in described], pa.binary()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), roots, sketches], ["doc_id", "fp", "roots", "sketch"])
 
 
 def _root_buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    runs = np.array([r for r, _ in ROOTS], np.uint64)
-    at = np.array([i for _, i in ROOTS])
-    salt = mix(runs * np.uint64(1009) + at.astype(np.uint64) + np.uint64(1))
+    """(bucket, fp) of every root child that a class is in."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        s = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, COORDINATES)[:, at].astype(np.uint64)
-        bucket = mix(s + salt).astype(np.int64).ravel()
-        fps = pc_repeat(batch.column(0), len(at))
+        bucket = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+        fps = _repeat(batch.column(0), len(_AT))
         for a in range(0, len(bucket), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(bucket[a : a + 50_000]), fps.slice(a, 50_000)], ["bucket", "fp"])
 
 
-def pc_repeat(column: pa.Array, times: int) -> pa.Array:
+def _repeat(column: pa.Array, times: int) -> pa.Array:
     return column.take(pa.array(np.repeat(np.arange(len(column)), times)))
 
 
@@ -148,7 +158,7 @@ def _split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 drawn[b] = np.flatnonzero(mix(line ^ mix(np.array([b], np.int64).view(np.uint64))) < limit)
             at = drawn[b]
             if len(at):
-                values = np.frombuffer(sks[k], np.uint32)[at].astype(np.uint64)
+                values = np.frombuffer(sks[k], np.uint8)[at].astype(np.uint64)
                 nodes.append(mix(values + mix(line[at] ^ np.array([b], np.int64).view(np.uint64))).astype(np.int64))
                 take += [k] * len(at)
         fps = kept.take(pa.array(take, pa.int64()))
@@ -182,7 +192,7 @@ def _propose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for members in batch.column(0):
             rows = members.as_py()
-            fps, m = [r["fp"] for r in rows], np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint32).reshape(-1, COORDINATES)
+            fps, m = [r["fp"] for r in rows], np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(-1, COORDINATES)
             sets = _Sets(len(fps))
             for i in range(len(fps) - 1):
                 for j in np.flatnonzero(_agreement(m[i + 1 :], m[i]) >= PROPOSE).tolist():
@@ -199,7 +209,7 @@ def _canopies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = ([], [], [], [])
         for bucket, fp, sk, pivots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            near = _agreement(np.frombuffer(b"".join(p["sketch"] for p in pivots), np.uint32).reshape(-1, COORDINATES), np.frombuffer(sk, np.uint32))
+            near = _agreement(np.frombuffer(b"".join(p["sketch"] for p in pivots), np.uint8).reshape(-1, COORDINATES), np.frombuffer(sk, np.uint8))
             out[0].append(bucket)
             out[1].append(fp)
             out[2].append([p["fp"] for p, x in zip(pivots, near, strict=True) if x >= LOOSE])
@@ -207,33 +217,46 @@ def _canopies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.list_(pa.binary())), pa.array(out[3], pa.bool_())], ["bucket", "fp", "near", "settled"])
 
 
+def _swept(large: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Canopy edges of large buckets (bucket, fp, sketch), and the rows that no pivot settles.
+
+    A bucket's pivots are the least hashes of PIVOTS slots, merged before they are shuffled. What is
+    near a pivot is settled: all its partners are in that pivot's canopy.
+    """
+    ranked = large.select("bucket", F.struct(F.xxhash64("fp", "bucket").alias("h"), "fp", "sketch").alias("p"))
+    slots = ranked.groupBy("bucket", F.pmod(F.col("p.h"), F.lit(PIVOTS)).alias("slot")).agg(F.min("p").alias("p"))
+    pivots = slots.groupBy("bucket").agg(F.collect_list("p").alias("pivots"))
+    swept = large.join(pivots, "bucket").select("bucket", "fp", "sketch", "pivots").mapInArrow(_canopies, "bucket long, fp binary, near array<binary>, settled boolean")
+    swept = materialise(swept)
+    edges = swept.select(F.explode("near").alias("a"), F.col("fp").alias("b")).where("a <> b").distinct()
+    rest = swept.where(~F.col("settled")).select("bucket", "fp")
+    return edges, rest.join(classes.select("fp", "sketch"), "fp").select("bucket", "fp", "sketch")
+
+
 def proposals(classes: DataFrame) -> DataFrame:
-    """Edges (a, b) between fingerprints of ``classes`` (fp, sketch) that may be similar."""
-    nodes = classes.select("fp", "sketch").mapInArrow(_root_buckets, "bucket long, fp binary")
-    edges = None
-    for level in range(LEVELS + 1):
-        sizes = nodes.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        met = materialise(nodes.join(sizes, "bucket").join(classes.select("fp", "sketch"), "fp").select("bucket", "fp", "sketch", "n"))
+    """Edges (a, b) between fingerprints of ``classes`` (fp, roots, sketch) that may be similar."""
+    nodes = classes.select("fp", "roots").mapInArrow(_root_buckets, "bucket long, fp binary")
+    edges, level = None, 0
+    while True:
+        # The same classes often meet in many buckets; one bucket of each set of members is enough.
+        sizes = nodes.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("fp").cast("decimal(38,0)")).alias("who")).where("n > 1")
+        sizes = sizes.groupBy("n", "who").agg(F.min("bucket").alias("bucket"))
+        met = materialise(nodes.join(sizes.select("bucket", "n"), "bucket").join(classes.select("fp", "sketch"), "fp").select("bucket", "fp", "sketch", "n"))
         small = met.where(F.col("n") <= BUCKET).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("fp", "sketch"))).alias("m"))
-        # The same members often meet in many buckets; they are compared once.
-        once = small.select("m", F.xxhash64(F.transform("m", lambda x: x["fp"])).alias("h")).groupBy("h").agg(F.any_value("m").alias("m"))
-        found = materialise(once.select("m").mapInArrow(_propose, "a binary, b binary").distinct())
+        found = materialise(small.select("m").mapInArrow(_propose, "a binary, b binary").distinct())
         edges = found if edges is None else edges.unionByName(found)
-        large = met.where(F.col("n") > BUCKET)
+        large = met.where(F.col("n") > BUCKET).select("bucket", "fp", "sketch")
         if not large.take(1):
             return edges
-        if level < LEVELS:
-            nodes = large.select("bucket", "fp", "sketch").mapInArrow(_split, "bucket long, fp binary").distinct()
-    pool = large.select("bucket", "fp", "sketch")
-    while pool.take(1):
-        # Bounded by PIVOTS for each bucket: the least hashes, merged before they are shuffled.
-        ranked = pool.select("bucket", F.struct(F.xxhash64("fp", "bucket").alias("h"), "fp", "sketch").alias("p"))
-        slots = ranked.groupBy("bucket", F.pmod(F.col("p.h"), F.lit(PIVOTS)).alias("slot")).agg(F.min("p").alias("p"))
-        pivots = slots.groupBy("bucket").agg(F.collect_list("p").alias("pivots"))
-        swept = materialise(pool.join(pivots, "bucket").select("bucket", "fp", "sketch", "pivots").mapInArrow(_canopies, "bucket long, fp binary, near array<binary>, settled boolean"))
-        edges = edges.unionByName(swept.select(F.explode("near").alias("a"), F.col("fp").alias("b")).where("a <> b"))
-        rest = swept.where(~F.col("settled")).select("bucket", "fp")
-        pool = materialise(rest.join(classes.select("fp", "sketch"), "fp").select("bucket", "fp", "sketch"))
+        canopies, rest = _swept(large, classes)
+        edges = edges.unionByName(canopies)
+        level += 1
+        if level > LEVELS:
+            break
+        nodes = rest.mapInArrow(_split, "bucket long, fp binary").distinct()
+    while rest.take(1):
+        canopies, rest = _swept(rest, classes)
+        edges = edges.unionByName(canopies)
     return edges
 
 
@@ -279,8 +302,8 @@ def _exact(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Ite
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, n_links (other classes at the similarity or above) and group_id of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = materialise(docs.select("doc_id", "text").mapInArrow(_sketched, f"doc_id {kind}, fp binary, sketch binary"))
-    classes = materialise(rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.any_value("sketch").alias("sketch")))
+    rows = materialise(docs.select("doc_id", "text").mapInArrow(_sketched, f"doc_id {kind}, fp binary, roots binary, sketch binary"))
+    classes = materialise(rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.any_value("roots").alias("roots"), F.any_value("sketch").alias("sketch")))
     family = materialise(components(proposals(classes)))
 
     members = family.join(classes.select(F.col("fp").alias("node"), "rep"), "node")

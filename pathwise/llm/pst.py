@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 from pathwise.llm.runtime import materialise
 from pathwise.llm.text import LOWER, NONSPACE, SPACE, Texts, Words, slices
 
-DEPTH = 6
-MIN_SHARE = 4e-6
+DEPTH = 5
+MIN_SHARE = 2e-6
 MIN_DIVERGENCE = 5.0
 #: Pseudo-count of the parent's distribution.
 STRENGTH = 3.0
 #: Weight of the tree against the distribution of known words.
-TREE_SHARE = 0.8
+TREE_SHARE = 0.85
 HEAD_SHARE = 1e-6
 FLUSH = 1 << 20
 
