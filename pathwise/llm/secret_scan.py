@@ -3,7 +3,9 @@
 Every version of a text is addressed by its SHA-256. The ledger has a row for each scan of a blob: the
 blob, the rules it was scanned with, as "name@version", and the spans found. A scan takes the distinct
 blobs, leaves out the blob and rule-version pairs the ledger has, scans each other blob once, and joins
-the findings back to every path that holds the blob.
+the findings back to every path that holds the blob. While a text is addressed, one pattern of all rules
+screens it where it stands; only texts it lets through are shuffled with their blob and scanned for
+spans, all others enter the ledger as scanned without a finding.
 
 Matches have no offsets in SQL, so they are rebuilt: the pieces between matches come from splitting by
 the same pattern, and a running sum over pieces and matches gives each start. Copies of a hot text are
@@ -59,6 +61,10 @@ def _stamp(rule: Rule) -> str:
     return f"{rule.name}@{rule.version}"
 
 
+def _any(rules: tuple[Rule, ...]) -> Column:
+    return F.coalesce(F.col("text").rlike("|".join(f"(?:{r.pattern})" for r in rules)), F.lit(False))
+
+
 def _found(kind: int, rule: Rule, wanted: Column) -> Column:
     """The matches of a rule in order: kind, place, length of the piece before, own length, accepted."""
     zipped = F.arrays_zip(
@@ -76,8 +82,8 @@ def scan(texts: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, .
     spans are sorted by start, then kind; ``cut`` is the end of the text covered before a span.
     """
     stamps = F.array(*(F.lit(_stamp(r)) for r in rules))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    blobs = texts.select(blob_of(F.col("text")).alias("blob"), text.alias("text")).groupBy("blob").agg(F.any_value("text").alias("text"))
+    screened = F.when(_any(rules), F.col("text"))
+    blobs = texts.select(blob_of(F.col("text")).alias("blob"), screened.alias("text")).groupBy("blob").agg(F.any_value("text").alias("text"))
     if ledger is None:
         blobs = blobs.withColumn("pending", stamps)
     else:
@@ -131,8 +137,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = MARK) -
     Only texts in which a pattern occurs are shuffled; the others pass as they are.
     """
     columns = docs.columns
-    any_rule = F.coalesce(F.col("text").rlike("|".join(f"(?:{r.pattern})" for r in rules)), F.lit(False))
-    suspects = docs.where(any_rule)
+    suspects = docs.where(_any(rules))
     found = materialise(scan(suspects.select("text"), None, rules).where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")))
     hit = suspects.withColumn("_blob", blob_of(F.col("text"))).join(found, "_blob", "left")
     one = F.lit(1)
@@ -146,7 +151,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = MARK) -
     tail = F.array_max(F.transform("_spans", lambda s: s["end"]))
     cut = F.concat(F.array_join(pieces, ""), F.col("text").substr(tail + one, F.length("text")))
     kept = [F.coalesce(cut, F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in columns]
-    return docs.where(~any_rule).unionByName(hit.select(*kept))
+    return docs.where(~_any(rules)).unionByName(hit.select(*kept))
 
 
 def oracle(rules: tuple[Rule, ...] = RULES) -> str:
