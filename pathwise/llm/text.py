@@ -95,14 +95,30 @@ class Words:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
+    def _sums(self) -> tuple[np.ndarray, np.ndarray]:
         up, down = _POWERS.get(len(self.lower))
         total = np.zeros(len(self.lower) + 1, np.uint64)
         np.cumsum(_BYTE_CODE[self.lower] * up, dtype=np.uint64, out=total[1:])
+        return total, down
+
+    def hashes(self) -> np.ndarray:
+        if not len(self.starts):
+            return np.zeros(0, np.uint64)
+        total, down = self._sums()
         return mix((total[self.ends] - total[self.starts]) * down[self.starts])
 
+    def prefixes(self, lengths: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each length in bytes: the words longer than it, and the hashes of their prefixes."""
+        if not len(self.starts):
+            return []
+        total, down = self._sums()
+        out = []
+        for n in lengths:
+            k = np.flatnonzero(self.ends - self.starts > n)
+            a = self.starts[k]
+            out.append((k, mix((total[a + n] - total[a]) * down[a] + np.uint64(n))))
+        return out
+
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about ``limit`` text bytes; a longer text is a run of its own."""

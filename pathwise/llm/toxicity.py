@@ -1,15 +1,18 @@
 """A counterfactual-regularised toxicity classifier.
 
-A logistic regression over the presence of words, fitted on a bounded sample of labelled documents.
-Beside the loss and a small ridge, the fit penalises the squared change of a document's log odds when an
-identity term in it is swapped for another of its group, once for each mention and other term: a text
-must not score higher for the group it names. For a linear model over presence that change is the
-difference of the two terms' weights, so the penalty is exact without writing swapped texts.
+A logistic regression over the density of words and of words' prefixes (families of words in languages
+that inflect or compound), fitted on a bounded sample of labelled documents. Beside the loss and a small
+ridge, the fit penalises the squared change of a document's log odds when an identity term in it is
+swapped for another of its group, once for each term named and other term: a text must not score higher
+for the group it names. For a linear model that change is the difference of the
+two terms' weights times the term's density, so the penalty is exact without writing swapped texts; an
+identity term has no prefix features, which would carry the group around the penalty.
 
-Words are chosen over the whole sample, by how strongly their document frequencies differ between the
-classes; identity terms always take part. Labels, languages, sources and ids are never inputs.
+Features are chosen over the whole sample, by how strongly the shares of documents in which they are
+dense differ between the classes; identity terms always take part. Labels, languages, sources and ids are
+never inputs.
 
-Bound: ``SAMPLE`` labelled rows, those of the least hashes of their ids; at most ``FEATURES`` words.
+Bound: ``SAMPLE`` labelled rows, those of the least hashes of their ids; at most ``FEATURES`` features.
 
 Defined results: a null text is the empty text and scores by the intercept; rows with a null label or id
 are not learned from, a document labelled more than once is toxic if any label says so; without
@@ -31,10 +34,13 @@ SAMPLE = 30_000
 FEATURES = 4096
 MIN_DOCS = 4
 MIN_Z = 3.5
+PREFIXES = (4, 5, 6, 7, 8)
+#: A feature is dense in a document from one occurrence in so many words.
+DENSE = 200
 THRESHOLD = 0.7
-RIDGE = 2.0
+RIDGE = 0.3
 FAIRNESS = 10.0
-STEPS = 400
+STEPS = 600
 
 #: Identity terms by group; terms of a group are swapped for each other.
 IDENTITY = (
@@ -54,8 +60,20 @@ def _hash_words(words: list[str]) -> np.ndarray:
     return Words(Texts(pa.array(words, pa.string())), ALNUM).hashes()
 
 
+_GROUPS = [_hash_words(list(g)) for g in IDENTITY]
+_TERMS = np.concatenate(_GROUPS)
+
+
+def _occurrences(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature hash) of every word and of other words' prefixes than identity terms'."""
+    doc, own = words.doc(), words.hashes()
+    free = ~np.isin(own, _TERMS)
+    parts = [(doc, own), *((doc[k[free[k]]], h[free[k]]) for k, h in words.prefixes(PREFIXES))]
+    return np.concatenate([d for d, _ in parts]), np.concatenate([h for _, h in parts])
+
+
 class Model:
-    """keys: word hashes, ascending; weights of the same order; bias."""
+    """keys: feature hashes, ascending; weights of the same order; bias."""
 
     def __init__(self, keys: np.ndarray, weights: np.ndarray, bias: float) -> None:
         order = np.argsort(keys)
@@ -63,35 +81,36 @@ class Model:
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
-    def present(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """(text, feature) pairs, each once."""
-        h = words.hashes()
+    def present(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, feature, density), each text and feature once: the log of 1 + occurrences in 100 words."""
+        doc, h = _occurrences(words)
         maybe = np.flatnonzero(self.sieve[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        if not len(maybe) or not len(self.keys):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(self.keys, h[maybe]), len(self.keys) - 1)
         same = self.keys[at] == h[maybe]
-        pair = np.unique(words.doc()[maybe[same]] * len(self.keys) + at[same])
-        return pair // len(self.keys), pair % len(self.keys)
+        pair, n = np.unique(doc[maybe[same]] * len(self.keys) + at[same], return_counts=True)
+        doc = pair // len(self.keys)
+        return doc, pair % len(self.keys), np.log1p(100 * n / words.counts[doc])
 
     def scores(self, texts: Texts) -> np.ndarray:
-        doc, feature = self.present(Words(texts, ALNUM))
-        return 1 / (1 + np.exp(-(self.bias + np.bincount(doc, self.weights[feature], len(texts)))))
+        doc, feature, value = self.present(Words(texts, ALNUM))
+        return 1 / (1 + np.exp(-(self.bias + np.bincount(doc, self.weights[feature] * value, len(texts)))))
 
 
 def _document_frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, toxic, n): in how many of a partition's documents of a class a word occurs."""
+    """(h, toxic, n): in how many of a partition's documents of a class a feature is dense."""
     for whole in batches:
         keys, counts = [[], []], [[], []]
         for batch in slices(whole, "text"):
             words = Words(Texts(batch.column(0)), ALNUM)
-            h, doc, toxic = words.hashes(), words.doc(), np.asarray(batch.column(1))
+            (doc, h), toxic = _occurrences(words), np.asarray(batch.column(1))
             order = np.lexsort((h, doc))
             h, doc = h[order], doc[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            edge = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])) if len(h) else np.zeros(0, np.int64)
+            times = np.diff(np.append(edge, len(h)))
+            edge = edge[times * DENSE >= words.counts[doc[edge]]]
+            h, doc = h[edge], doc[edge]
             for label in (0, 1):
-                u, n = np.unique(h[new & (toxic[doc] == label)], return_counts=True)
+                u, n = np.unique(h[toxic[doc] == label], return_counts=True)
                 keys[label].append(u)
                 counts[label].append(n)
         for label in (0, 1):
@@ -101,19 +120,19 @@ def _document_frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Reco
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.full(len(u), label, np.int32)), pa.array(n)], ["h", "toxic", "n"])
 
 
-def _fit(doc: np.ndarray, feature: np.ndarray, label: np.ndarray, n_features: int, swaps: list[tuple[int, int]]) -> tuple[np.ndarray, float]:
-    """Adam on the mean loss, the ridge and the counterfactual penalty. swaps: (named, swapped in), a mention each."""
+def _fit(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np.ndarray, n_features: int, swaps: list[tuple[int, int, float]]) -> tuple[np.ndarray, float]:
+    """Adam on the mean loss, the ridge and the counterfactual penalty. swaps: (named, swapped in, density), a mention each."""
     n = len(label)
     w = np.zeros(n_features + 1)  # the last is the bias
     w[-1] = np.log((label.sum() + 1) / (n - label.sum() + 1))
-    a, b = (np.array([s[k] for s in swaps], np.int64) for k in (0, 1))
+    a, b, x = (np.array([s[k] for s in swaps], kind) for k, kind in enumerate((np.int64, np.int64, float)))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, STEPS + 1):
-        z = w[-1] + np.bincount(doc, w[feature], n)
+        z = w[-1] + np.bincount(doc, w[feature] * value, n)
         error = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - label
-        g = np.append(np.bincount(feature, error[doc], n_features) + RIDGE * w[:-1], error.sum()) / n
+        g = np.append(np.bincount(feature, error[doc] * value, n_features) + RIDGE * w[:-1], error.sum()) / n
         if len(a):
-            change = 2 * FAIRNESS * (w[a] - w[b]) / n
+            change = 2 * FAIRNESS * x * x * (w[a] - w[b]) / n
             g[:-1] += np.bincount(a, change, n_features) - np.bincount(b, change, n_features)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8) * (1 - t / (STEPS + 1))
@@ -135,28 +154,27 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     spread = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.greatest(n1 - F.col("a"), F.lit(0.0)) + 0.5) + 1 / (F.col("b") + 0.5) + 1 / (F.greatest(n0 - F.col("b"), F.lit(0.0)) + 0.5))
     strong = counts.where((F.col("a") + F.col("b") >= MIN_DOCS) & (F.col("a") <= n1) & (F.col("b") <= n0)).select("h", F.abs(odds / spread).alias("z")).where(F.col("z") >= MIN_Z)
     picked = strong.orderBy(F.desc("z"), "h").limit(FEATURES).select("h").collect()
-    groups = [_hash_words(list(g)) for g in IDENTITY]
-    keys = np.unique(np.concatenate([np.array([r.h for r in picked], np.int64).view(np.uint64), *groups]))
+    keys = np.unique(np.concatenate([np.array([r.h for r in picked], np.int64).view(np.uint64), _TERMS]))
     blank = Model(keys, np.zeros(len(keys)), 0.0)
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 texts = Texts(batch.column(0))
-                doc, feature = blank.present(Words(texts, ALNUM))
-                edge = np.searchsorted(doc, np.arange(len(texts) + 1))
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(feature.astype(np.int32))), batch.column(1)], ["f", "toxic"])
+                doc, feature, value = blank.present(Words(texts, ALNUM))
+                edge = pa.array(np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(edge, pa.array(feature.astype(np.int32))), pa.ListArray.from_arrays(edge, pa.array(value.astype(np.float32))), batch.column(1)], ["f", "v", "toxic"])
 
-    rows = known.mapInArrow(read, "f array<int>, toxic int").toArrow().combine_chunks()
+    rows = known.mapInArrow(read, "f array<int>, v array<float>, toxic int").toArrow().combine_chunks()
     if not rows.num_rows:
         return blank
     lists = rows["f"].combine_chunks()
-    feature = np.asarray(lists.flatten()).astype(np.int64)
+    feature, value = np.asarray(lists.flatten()).astype(np.int64), np.asarray(rows["v"].combine_chunks().flatten()).astype(float)
     doc = np.repeat(np.arange(rows.num_rows), np.diff(np.asarray(lists.offsets)))
     label = rows["toxic"].to_numpy().astype(float)
-    group = {int(k): g for g in (np.searchsorted(keys, x) for x in groups) for k in g}
-    swaps = [(f, int(o)) for f in feature.tolist() if f in group for o in group[f] if o != f]
-    return Model(keys, *_fit(doc, feature, label, len(keys), swaps))
+    group = {int(k): g for g in (np.searchsorted(keys, x) for x in _GROUPS) for k in g}
+    swaps = [(f, int(o), v) for f, v in zip(feature.tolist(), value.tolist(), strict=True) if f in group for o in group[f] if o != f]
+    return Model(keys, *_fit(doc, feature, value, label, len(keys), swaps))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
