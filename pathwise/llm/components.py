@@ -10,34 +10,31 @@ from pathwise.llm.runtime import materialise
 MAX_ROUNDS = 50
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node below a root hangs on that root alone."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("top"), F.lit(0).alias("low")), F.struct(F.col("b").alias("x"), F.lit(0).alias("top"), F.lit(1).alias("low")))).alias("e"))
+    nodes = ends.groupBy("e.x").agg(F.max("e.top").alias("top"), F.sum("e.low").alias("low"))
+    return not nodes.where("low > 1 or (low = 1 and top = 1)").take(1)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of ``edges`` (a, b); the root is the least node of the component.
 
     Loops and repeated edges do no harm. Each step pre-aggregates the least neighbour and joins it back,
-    so no neighbourhood is collected; each round is materialised and the count and checksum of its edges
-    tell when nothing moves any more.
+    so no neighbourhood is collected; each round's edges are materialised.
     """
     edges = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    state = _state(edges)
     for _ in range(MAX_ROUNDS):
-        if not state[0]:
+        if _settled(edges):
             break
         # Large star: every neighbour above a node is linked to the node's least neighbour (or itself).
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b")
         # Small star: a node and its lower neighbours are linked to the least of them.
         least = large.groupBy("b").agg(F.min("a").alias("m"))
-        joined = large.join(least, "b")
-        small = joined.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct()
-        edges = materialise(small)
-        state, before = _state(edges), state
-        if state == before:
-            break
+        small = large.join(least, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b")
+        edges = materialise(small.distinct())
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())

@@ -42,8 +42,8 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 4, 5
 COORDINATES = 128
 RUNS = 16
-BUCKET = 100
-LEVELS = 3
+BUCKET = 400
+LEVELS = 8
 PIVOTS = 32
 TILE = 512
 #: Sketch agreement that proposes a pair: four standard deviations below the threshold.
@@ -161,8 +161,8 @@ def _split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 values = np.frombuffer(sks[k], np.uint8)[at].astype(np.uint64)
                 nodes.append(mix(values + mix(line[at] ^ np.array([b], np.int64).view(np.uint64))).astype(np.int64))
                 take += [k] * len(at)
-        fps = kept.take(pa.array(take, pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes) if nodes else np.zeros(0, np.int64)), fps], ["bucket", "fp"])
+        take = pa.array(take, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes) if nodes else np.zeros(0, np.int64)), kept.take(take), batch.column(2).take(take)], ["bucket", "fp", "sketch"])
 
 
 def _agreement(matrix: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -205,19 +205,34 @@ def _propose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _canopies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For a row of a large bucket and the bucket's pivots: pivots in whose canopy it is, and if it is settled."""
+    """For a row of a large bucket and the bucket's pivots: the pivots whose canopy it is in, and if it is settled.
+
+    Pivots near each other are one group, named by its least pivot: a row lists a group once.
+    """
+    groups: dict[int, tuple[np.ndarray, list[bytes]]] = {}
     for batch in batches:
-        out = ([], [], [], [])
+        out = ([], [], [])
         for bucket, fp, sk, pivots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            near = _agreement(np.frombuffer(b"".join(p["sketch"] for p in pivots), np.uint8).reshape(-1, COORDINATES), np.frombuffer(sk, np.uint8))
-            out[0].append(bucket)
-            out[1].append(fp)
-            out[2].append([p["fp"] for p, x in zip(pivots, near, strict=True) if x >= LOOSE])
-            out[3].append(bool((near >= PROPOSE).any()))
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.list_(pa.binary())), pa.array(out[3], pa.bool_())], ["bucket", "fp", "near", "settled"])
-
-
-def _swept(large: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+            if bucket not in groups:
+                if len(groups) > 1000:
+                    groups.clear()
+                pivots = sorted(pivots, key=lambda p: p["fp"])
+                m = np.frombuffer(b"".join(p["sketch"] for p in pivots), np.uint8).reshape(-1, COORDINATES)
+                sets = _Sets(len(pivots))
+                for i in range(len(pivots) - 1):
+                    for j in np.flatnonzero(_agreement(m[i + 1 :], m[i]) >= PROPOSE).tolist():
+                        sets.join(i, i + 1 + j)
+                groups[bucket] = m, [pivots[sets.root(i)]["fp"] for i in range(len(pivots))]
+            m, names = groups[bucket]
+            near = _agreement(m, np.frombuffer(sk, np.uint8))
+            done = bool((near >= PROPOSE).any())
+            out[0].append(sorted({names[i] for i in np.flatnonzero(near >= LOOSE).tolist()} - {fp}))
+            out[1].append(done)
+            out[2].append(None if done else sk)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out[0], pa.list_(pa.binary())), pa.array(out[1], pa.bool_()), pa.array(out[2], pa.binary())], ["bucket", "fp", "near", "settled", "sketch"])
+
+
+def _swept(large: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Canopy edges of large buckets (bucket, fp, sketch), and the rows that no pivot settles.
 
     A bucket's pivots are the least hashes of PIVOTS slots, merged before they are shuffled. What is
@@ -226,11 +241,9 @@ def _swept(large: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     ranked = large.select("bucket", F.struct(F.xxhash64("fp", "bucket").alias("h"), "fp", "sketch").alias("p"))
     slots = ranked.groupBy("bucket", F.pmod(F.col("p.h"), F.lit(PIVOTS)).alias("slot")).agg(F.min("p").alias("p"))
     pivots = slots.groupBy("bucket").agg(F.collect_list("p").alias("pivots"))
-    swept = large.join(pivots, "bucket").select("bucket", "fp", "sketch", "pivots").mapInArrow(_canopies, "bucket long, fp binary, near array<binary>, settled boolean")
+    swept = large.join(pivots, "bucket").select("bucket", "fp", "sketch", "pivots").mapInArrow(_canopies, "bucket long, fp binary, near array<binary>, settled boolean, sketch binary")
     swept = materialise(swept)
-    edges = swept.select(F.explode("near").alias("a"), F.col("fp").alias("b")).where("a <> b").distinct()
-    rest = swept.where(~F.col("settled")).select("bucket", "fp")
-    return edges, rest.join(classes.select("fp", "sketch"), "fp").select("bucket", "fp", "sketch")
+    return swept.select(F.explode("near").alias("a"), F.col("fp").alias("b")), swept.where(~F.col("settled")).select("bucket", "fp", "sketch")
 
 
 def proposals(classes: DataFrame) -> DataFrame:
@@ -241,21 +254,22 @@ def proposals(classes: DataFrame) -> DataFrame:
         # The same classes often meet in many buckets; one bucket of each set of members is enough.
         sizes = nodes.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("fp").cast("decimal(38,0)")).alias("who")).where("n > 1")
         sizes = sizes.groupBy("n", "who").agg(F.min("bucket").alias("bucket"))
-        met = materialise(nodes.join(sizes.select("bucket", "n"), "bucket").join(classes.select("fp", "sketch"), "fp").select("bucket", "fp", "sketch", "n"))
+        met = nodes.join(sizes.select("bucket", "n"), "bucket")
+        met = materialise((met if level else met.join(classes.select("fp", "sketch"), "fp")).select("bucket", "fp", "sketch", "n"))
         small = met.where(F.col("n") <= BUCKET).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("fp", "sketch"))).alias("m"))
-        found = materialise(small.select("m").mapInArrow(_propose, "a binary, b binary").distinct())
+        found = small.select("m").mapInArrow(_propose, "a binary, b binary")
         edges = found if edges is None else edges.unionByName(found)
         large = met.where(F.col("n") > BUCKET).select("bucket", "fp", "sketch")
         if not large.take(1):
             return edges
-        canopies, rest = _swept(large, classes)
+        canopies, rest = _swept(large)
         edges = edges.unionByName(canopies)
         level += 1
         if level > LEVELS:
             break
-        nodes = rest.mapInArrow(_split, "bucket long, fp binary").distinct()
+        nodes = rest.mapInArrow(_split, "bucket long, fp binary, sketch binary")
     while rest.take(1):
-        canopies, rest = _swept(rest, classes)
+        canopies, rest = _swept(rest)
         edges = edges.unionByName(canopies)
     return edges
 
@@ -308,6 +322,7 @@ def join(docs: DataFrame) -> DataFrame:
 
     members = family.join(classes.select(F.col("fp").alias("node"), "rep"), "node")
     sizes = family.groupBy("root").agg(F.count("*").alias("n"))
+    largest = sizes.agg(F.max("n")).first()[0] or 0
     members = members.join(sizes, "root").withColumn("g", F.ceil(F.col("n") / TILE).cast("int"))
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
     # A block meets every block of its family: tiles (x, y) with x <= y.
@@ -317,12 +332,11 @@ def join(docs: DataFrame) -> DataFrame:
     tiled = texts.select("root", F.explode("tiles").alias("t"), "fp", "block", "text").select("root", F.col("t.x").alias("x"), F.col("t.y").alias("y"), "fp", "block", "text")
     exact = materialise(tiled.groupBy("root", "x", "y").applyInArrow(_exact, "fp binary, links long, root binary"))
     links = exact.groupBy("fp").agg(F.sum("links").alias("n_links"))
-    if members.where("g > 1").take(1):
+    if largest > TILE:
         group = components(exact.select(F.col("root").alias("a"), F.col("fp").alias("b"))).withColumnsRenamed({"node": "fp"})
     else:
         group = exact.select("fp", "root").where("fp <> root")
     found = classes.select("fp", "rep").join(links, "fp", "left").join(group, "fp", "left").select("fp", "rep", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "fp").alias("root"))
-    found = materialise(found)
     named = found.groupBy("root").agg(F.min("rep").alias("group_id"))
     found = found.join(named, "root").select("fp", F.col("rep").alias("class_id"), "n_links", "group_id")
     return rows.select("doc_id", "fp").join(found, "fp", "left").select(
