@@ -26,21 +26,22 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathwise.llm.runtime import materialise
 from pathwise.llm.text import LOWER, NONSPACE, SPACE, Texts, Words, slices
 
 DEPTH = 5
-MIN_SHARE = 2e-6
-MIN_DIVERGENCE = 5.0
-#: Pseudo-count of the parent's distribution.
-STRENGTH = 3.0
+MIN_SHARE = 4e-6
+MIN_DIVERGENCE = 2.0
+#: Pseudo-count of the parent's distribution for each distinct next symbol.
+STRENGTH = 1.0
 #: Weight of the tree against the distribution of known words.
 TREE_SHARE = 0.85
 HEAD_SHARE = 1e-6
 FLUSH = 1 << 20
+CHUNK = 4096
 
 END, BLANK, CONTROL = 0, 1, 2
 
@@ -148,24 +149,28 @@ def _count(batches: Iterable[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
 class Tree:
     """child[s, c]: the state of the context c before that of s, or 0; logp[s, c]: of symbol c in state s."""
 
-    def __init__(self, levels: list[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]], root: np.ndarray) -> None:
-        p = [((root + 0.5) / (root.sum() + 0.5 * SYMBOLS))[None, :]]
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], root: np.ndarray) -> None:
+        """levels: for each depth the candidates' next symbols, flat: context, symbol, count."""
+        p = [((root + 0.5) / (root.sum() + 0.5 * SYMBOLS))[None, :].astype(np.float32)]
         codes, parents, strong = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.ones(1, bool)]
-        for d, (ctx, syms, counts) in enumerate(levels, 1):
-            order = np.argsort(ctx)
-            at = ctx[order] % SYMBOLS ** (d - 1)
-            parent = np.searchsorted(codes[-1], at)
-            rows = np.zeros((len(ctx), SYMBOLS))
-            for i, k in enumerate(order.tolist()):
-                rows[i, syms[k]] = counts[k]
-            total = rows.sum(1, keepdims=True)
-            up = p[-1][parent]
-            own = (rows + STRENGTH * up) / (total + STRENGTH)
-            gain = total[:, 0] * (own * np.log(own / up)).sum(1)
-            codes.append(ctx[order])
+        for d, (ctx, symbol, count) in enumerate(levels, 1):
+            order = np.argsort(ctx, kind="stable")
+            names, first = np.unique(ctx[order], return_index=True)
+            symbol, count, first = symbol[order], count[order], np.append(first, len(ctx))
+            parent = np.searchsorted(codes[-1], names % SYMBOLS ** (d - 1))
+            own, gain = np.empty((len(names), SYMBOLS), np.float32), np.empty(len(names))
+            for a in range(0, len(names), CHUNK):  # dense rows of a few nodes at a time
+                b = min(a + CHUNK, len(names))
+                rows = np.zeros((b - a, SYMBOLS))
+                rows[np.repeat(np.arange(b - a), np.diff(first[a : b + 1])), symbol[first[a] : first[b]]] = count[first[a] : first[b]]
+                total, up = rows.sum(1), p[-1][parent[a:b]].astype(float)
+                weight = STRENGTH * (rows > 0).sum(1)
+                rows = (rows + weight[:, None] * up) / (total + weight)[:, None]
+                own[a:b], gain[a:b] = rows, total * (rows * np.log(rows / up)).sum(1)
+            codes.append(names)
             parents.append(parent)
             strong.append(gain >= MIN_DIVERGENCE)
-            p.append(own.astype(np.float32))
+            p.append(own)
         for d in range(len(codes) - 1, 1, -1):
             strong[d - 1][parents[d][strong[d]]] = True
         states = [np.cumsum(s) - 1 for s in strong]
@@ -215,10 +220,11 @@ def grow(grams: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE) ->
         return Tree([], root)
     table, levels = grams, []
     for d in range(depth, 0, -1):
-        candidates = table.groupBy(F.expr(f"g div {SYMBOLS}").alias("c")).agg(F.collect_list(F.expr(f"g % {SYMBOLS}")).alias("s"), F.collect_list("n").alias("k"), F.sum("n").alias("t"))
-        got = candidates.where(F.col("t") >= min_share * total).select("c", "s", "k").toArrow().combine_chunks()
-        levels.append((got["c"].to_numpy(), [np.asarray(x.values) for x in got["s"]], [np.asarray(x.values) for x in got["k"]]))
-        table = table.groupBy(F.expr(f"g % {SYMBOLS ** d}L").alias("g")).agg(F.sum("n").alias("n"))
+        # A context has at most SYMBOLS rows, so its window is small.
+        of = F.sum("n").over(Window.partitionBy("c"))
+        got = table.select(F.expr(f"g div {SYMBOLS}").alias("c"), F.expr(f"cast(g % {SYMBOLS} as int)").alias("s"), "n").withColumn("t", of).where(F.col("t") >= min_share * total).select("c", "s", "n").toArrow()
+        levels.append(tuple(got[k].to_numpy() for k in ("c", "s", "n")))
+        table = materialise(table.groupBy(F.expr(f"g % {SYMBOLS**d}L").alias("g")).agg(F.sum("n").alias("n")))
     for r in table.collect():  # a row for each symbol
         root[r.g] = r.n
     return Tree(levels[::-1], root)
