@@ -44,11 +44,11 @@ COORDINATES = 128
 RUNS = 16
 BUCKET = 400
 LEVELS = 8
-PIVOTS = 32
+PIVOTS = 4
 TILE = 512
 #: Sketch agreement that proposes a pair: four standard deviations below the threshold.
 PROPOSE = 0.66
-#: Agreement with a pivot that may still hide a partner of one of its near classes.
+#: Agreement with a pivot that may still hide a partner of one of its near classes: distances add up.
 LOOSE = 0.36
 SEED = 20240229
 
