@@ -329,7 +329,7 @@ def test_discrepancy_and_tree():
 
 
 def test_mining(spark):
-    got = {tuple(r.subsequence): r.support for r in mining.frequent_subsequences(pool(spark, "ABC", "ABC", "ACB"), 0.5).collect()}
+    got = {tuple(r.subsequence): r.support for r in mining.frequent_subsequences(pool(spark, "ABC", "ABC", "ACB"), 0.67).collect()}
     assert got == {("A",): 3, ("B",): 3, ("C",): 3, ("A", "B"): 3, ("A", "C"): 3, ("B", "C"): 2, ("A", "B", "C"): 2}
     rules = {(tuple(r.antecedent), tuple(r.consequent)): r for r in mining.association_rules(pool(spark, "ABC", "ABD", "ABC", "ACD"), 0.1).collect()}
     r = rules[("B",), ("C",)]
