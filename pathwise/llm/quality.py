@@ -146,3 +146,34 @@ def keep(docs: DataFrame, keep_probability: float = KEEP_PROBABILITY) -> DataFra
     judged = _voted(docs.select(row.alias("doc_id"), "text"))
     verdict = (F.when(passed, p).otherwise(-1.0) + F.rand() * 1e-300).alias("p")
     return judged.select("doc_id", verdict).where(F.col("p") >= keep_probability).select("doc_id.*")
+
+
+def oracle(rounds: int = ROUNDS, keep_probability: float = KEEP_PROBABILITY) -> str:
+    """DuckDB SQL for judge() over ``documents``, without the probability; the EM is a recursion over one row."""
+    k = range(1, len(RULES) + 1)
+    rules = ", ".join(str(j) for j in k)
+    share = lambda side, mark: f"list_sum(list_transform(range(1, len(vs) + 1), lambda i: CASE WHEN vs[i][j] = {mark} THEN {side} * ns[i] ELSE 0.0 END))"
+    weight = lambda mark: f"ln(({share('g[i]', mark)} + {PRIOR}) / (mass + 3 * {PRIOR})) - ln(({share('(1 - g[i])', mark)} + {PRIOR}) / (total - mass + 3 * {PRIOR}))"
+    return rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, i, array_to_string(w[i:i + 2], ' ') AS k FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
+dup AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM win) WHERE c > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 3)) AS p FROM dup) GROUP BY r),
+l AS (SELECT d.*, list_filter(string_split(x, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')) AS ls FROM d),
+f AS (SELECT l.r, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(ls) AS n_lines, length(regexp_replace(x, '[^A-Z]', '', 'g')) AS caps, length(x) - length(replace(x, '!', '')) AS shouts, length(x) - length(replace(x, '.', '')) AS stops
+  FROM l LEFT JOIN rep ON rep.r = l.r),
+q AS (SELECT *, n_symbols / nullif(n_words, 0) AS sy, caps / nullif(word_chars, 0) AS ca, n_dup_lines / nullif(n_lines, 0) AS li, n_repeat_words / nullif(n_words, 0) AS re, word_chars / nullif(n_words, 0) AS ws, shouts / nullif(n_words, 0) AS sh, stops / nullif(n_words, 0) AS st FROM f),
+v AS (SELECT *, [CASE WHEN n_words < 50 THEN -1 WHEN n_words >= 80 THEN 1 ELSE 0 END, CASE WHEN sy > 0.3 THEN -1 WHEN sy < 0.05 THEN 1 ELSE 0 END, CASE WHEN ca > 0.4 THEN -1 WHEN ca < 0.15 THEN 1 ELSE 0 END,
+  CASE WHEN li > 0.3 THEN -1 WHEN li < 0.05 AND n_lines > 1 THEN 1 ELSE 0 END, CASE WHEN re > 0.5 THEN -1 WHEN re < 0.2 THEN 1 ELSE 0 END, CASE WHEN ws < 2.5 OR ws > 14 THEN -1 WHEN ws >= 3 AND ws <= 10 THEN 1 ELSE 0 END,
+  CASE WHEN sh > 0.3 THEN -1 WHEN sh < 0.05 THEN 1 ELSE 0 END, CASE WHEN st < 0.003 THEN -1 WHEN st > 0.02 THEN 1 ELSE 0 END] AS v FROM q),
+s AS (SELECT list(v ORDER BY v) AS vs, list(n ORDER BY v) AS ns, CAST(sum(n) AS DOUBLE) AS total FROM (SELECT v, count(*) AS n FROM v GROUP BY v)),
+em AS (SELECT 0 AS k, list_transform(vs, lambda y: CASE WHEN list_contains(y, -1) THEN CAST(0.02 AS DOUBLE) ELSE CAST(0.98 AS DOUBLE) END) AS g FROM s UNION ALL
+  SELECT k + 1, list_transform(vs, lambda y: 1 / (1 + exp(-greatest(-50.0, least(50.0, odds + list_sum(list_transform([{rules}], lambda j: CASE y[j] WHEN -1 THEN bad[j] WHEN 1 THEN fine[j] ELSE 0.0 END))))))) FROM
+  (SELECT k, vs, ln(((mass + {PRIOR}) / (total + 2 * {PRIOR})) / (1 - (mass + {PRIOR}) / (total + 2 * {PRIOR}))) AS odds,
+    list_transform([{rules}], lambda j: least(0.0, {weight(-1)})) AS bad, list_transform([{rules}], lambda j: greatest(0.0, {weight(1)})) AS fine FROM
+   (SELECT k, g, vs, ns, total, list_sum(list_transform(range(1, len(vs) + 1), lambda i: g[i] * ns[i])) AS mass FROM em, s WHERE k < {rounds}))),
+p AS (SELECT unnest(vs) AS v, unnest(g) AS p FROM em, s WHERE k = {rounds})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND p >= {keep_probability} AS kept FROM v JOIN p USING (v)
+"""

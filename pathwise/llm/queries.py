@@ -56,7 +56,13 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
-ORACLES: dict[str, str] = {"op4_url_filter": url_filter.ORACLE, "op10_secret_scan": secret_scan.oracle()}
+ORACLES: dict[str, str] = {
+    "op1_decontamination": decontaminate.ORACLE,
+    "op2_sharding": sharding.ORACLE,
+    "op4_url_filter": url_filter.ORACLE,
+    "op9_quality_rules": quality.oracle(),
+    "op10_secret_scan": secret_scan.oracle(),
+}
 
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,

@@ -81,3 +81,14 @@ def assign(docs: DataFrame, shards: int = SHARDS, overhead: int = ROW_OVERHEAD)
 
     placed = cutted.mapInArrow(place, f"doc_id {kind}, size long, text_crc32 long, shard int, slot long")
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: DuckDB SQL for assign() over ``documents``; the CRC table is built from its polynomial.
+ORACLE = r"""
+WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+d AS (SELECT doc_id, coalesce(text, '') AS x, md5(coalesce(text, '')) AS h, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size FROM documents),
+c AS (SELECT doc_id, h, size, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda p: CAST('0x' || p AS BIGINT))), lambda a, v: xor(a >> 8, t[xor(a & 255, v) + 1]))) AS crc FROM d, tab),
+s AS (SELECT *, sum(size) OVER (ORDER BY h, doc_id NULLS FIRST, crc ROWS UNBOUNDED PRECEDING) AS e, sum(size) OVER () AS total FROM c),
+p AS (SELECT *, CAST((2 * e - size) * 40 // (2 * total) AS INT) AS shard FROM s)
+SELECT doc_id, size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id NULLS FIRST, crc) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM p
+"""
