@@ -5,13 +5,17 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a local one only where none is set, as in tests."""
+    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "pathwise-checkpoints")
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the folder of spark.checkpoint.dir; a local folder only where none is set."""
+    """``df`` computed once into the shared folder, its lineage cut."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "pathwise-checkpoints"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -6,6 +6,8 @@ from pyspark.ml.fpm import PrefixSpan
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathwise.functions.runtime import materialise
+
 
 def frequent_subsequences(seq, min_support: float = 0.1, max_length: int = 5, min_length: int = 1) -> DataFrame:
     """subsequence, support (sequences that contain it) and proportion, ordered by support, then pattern.
@@ -24,7 +26,7 @@ def frequent_subsequences(seq, min_support: float = 0.1, max_length: int = 5, mi
 
 def association_rules(seq, min_support: float = 0.1, min_confidence: float = 0.0, max_length: int = 5) -> DataFrame:
     """antecedent => consequent for every split of a frequent pattern, with the usual measures."""
-    patterns = frequent_subsequences(seq, min_support, max_length).select("subsequence", F.col("proportion").alias("s")).cache()
+    patterns = materialise(frequent_subsequences(seq, min_support, max_length).select("subsequence", F.col("proportion").alias("s")))
     size = F.size("subsequence")
     splits = patterns.where(size >= 2).select(F.col("s").alias("support"), "subsequence", F.explode(F.sequence(F.lit(1), size - 1)).alias("k"))
     splits = splits.select("support", F.slice("subsequence", 1, F.col("k")).alias("antecedent"), F.slice("subsequence", F.col("k") + 1, F.size("subsequence")).alias("consequent"))

@@ -8,6 +8,7 @@ in each hour of the day, sequences of one length). All run over whole tables.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -15,8 +16,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathwise.functions.model import SequenceConfig, SequencePool, StateSequence
+from pathwise.functions.runtime import shared_dir
 from pathwise.operators import clustering, descriptive, discrepancy, distances, filters, mining, normative, transitions
-from pathwise.sources import generate_financial_journeys, generate_markov_sequences, generate_simple_sequences, sample_intervals
+from pathwise.sources import (
+    generate_financial_journeys,
+    generate_markov_sequences,
+    generate_simple_sequences,
+    load_csv,
+    load_json,
+    load_parquet,
+    sample_intervals,
+    save_csv,
+    save_json,
+    save_parquet,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -76,7 +89,6 @@ def r6(c: str | Column, name: str | None = None) -> Column:
 _E = "e AS (SELECT user_id AS id, ts AS time, event_type AS state FROM events)"
 _O = "e AS (SELECT o_custkey AS id, o_orderdate AS time, o_orderpriority AS state FROM orders)"
 _T = "e AS (SELECT conv_id AS id, turn AS time, role AS state FROM conversations)"
-_W = "WINDOW w AS (PARTITION BY id ORDER BY time, state)"
 _SPELLS = """m AS (SELECT *, CASE WHEN state = lag(state) OVER w THEN 0 ELSE 1 END AS ch FROM e WINDOW w AS (PARTITION BY id ORDER BY time, state)),
 g AS (SELECT *, sum(ch) OVER (PARTITION BY id ORDER BY time, state ROWS UNBOUNDED PRECEDING) AS sp FROM m),
 spells AS (SELECT id, sp, min(state) AS state, min(time) AS a, max(time) AS b, count(*) AS d FROM g GROUP BY id, sp)"""
@@ -433,6 +445,13 @@ def multi_factor(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(k, float(r.pseudo_r2), float(r.pseudo_f), float(r.p_value)) for k, r in out.items()], "factor string, pseudo_r2 double, pseudo_f double, p_value double")
 
 
+@register("discrepancy_permutation")
+def discrepancy_permutation(spark: SparkSession, d: str) -> DataFrame:
+    dm = distances.compute(talks(spark, d), "om")
+    r = discrepancy.discrepancy_analysis(dm, [x % 3 for x in dm.labels], 199, 1)
+    return spark.createDataFrame([(float(r.pseudo_r2), float(r.pseudo_f), float(r.p_value))], "pseudo_r2 double, pseudo_f double, p_value double")
+
+
 register("pam")(lambda s, d: clustering.pam_clustering(distances.compute(talks(s, d), "om"), 3).to_dataframe(s))
 register("clara")(lambda s, d: clustering.clara_clustering(distances.compute(talks(s, d), "om"), 3, random_state=1).to_dataframe(s))
 register("clara_pool")(lambda s, d: clustering.clara_pool(orders(s, d), 4)[0])
@@ -477,6 +496,24 @@ CASE WHEN r.p / fa.p >= 1 THEN CAST('inf' AS DOUBLE) ELSE round((1 - fb.p) / (1
 )
 
 
+# --- round trips -----------------------------------------------------------------------------------
+
+
+def _round_trip(save: Callable, load: Callable) -> Query:
+    """A pool written to a new folder beside the checkpoints, and read again."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        path = f"{shared_dir(spark)}/round-trip-{uuid.uuid4().hex}"
+        save(SequencePool(table(spark, d, "conversations").select("conv_id", "turn", "role"), TALKS), path)
+        return load(spark, path, TALKS).data.select("conv_id", F.col("turn").cast("long").alias("turn"), "role")
+
+    return query
+
+
+for _kind, _save, _load in (("csv", save_csv, load_csv), ("json", save_json, load_json), ("parquet", save_parquet, load_parquet)):
+    register(f"roundtrip_{_kind}", "SELECT conv_id, turn, role FROM conversations")(_round_trip(_save, _load))
+
+
 # --- generators ------------------------------------------------------------------------------------
 
 register("markov_sequences")(lambda s, d: generate_markov_sequences(s, 1000, 20, seed=1).data)
