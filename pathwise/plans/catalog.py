@@ -386,17 +386,28 @@ register("dist_lcs", _dp(_EDIT.format(sub=_SUB2), "j", "i", "r[ny + 1]"))(lambda
 register("dist_om_trate")(lambda s, d: (lambda p: _pairs(p, "om", sm=transitions.substitution_cost_matrix(p)))(talks(s, d)))
 _DEPTH = "(least({i} - 1, {n} - {i}) / greatest({n} - 1, 1))"
 register("dist_omloc", _dp(_EDIT.format(sub=f"{_SUB2} * (1 + (1 - ({_DEPTH.format(i='i', n='nx')} + {_DEPTH.format(i='j', n='ny')}) / 2))"), "j", "i", "r[ny + 1]"))(lambda s, d: _pairs(talks(s, d), "omloc"))
-register("dist_omspell")(lambda s, d: _pairs(talks(s, d), "omspell"))
+_RUN = "sqrt(CAST(len(list_filter(range(1, nx + 1), lambda h: list_unique(x[least(h, i):greatest(h, i)]) = 1)) * len(list_filter(range(1, ny + 1), lambda h: list_unique(y[least(h, j):greatest(h, j)]) = 1)) AS DOUBLE))"
+register("dist_omspell", _dp(_EDIT.format(sub=f"{_SUB2} / {_RUN}"), "j", "i", "r[ny + 1]"))(lambda s, d: _pairs(talks(s, d), "omspell"))
 register(
     "dist_omstran",
     _dp(_EDIT.format(sub=f"{_SUB2} + CASE WHEN i > 1 AND j > 1 THEN abs((CASE WHEN x[i - 1] = x[i] THEN 1.0 ELSE 0.0 END) - (CASE WHEN y[j - 1] = y[j] THEN 1.0 ELSE 0.0 END)) ELSE 0.0 END"), "j", "i", "r[ny + 1]"),
 )(lambda s, d: _pairs(talks(s, d), "omstran"))
 register("dist_dtw", _dp("CASE WHEN x[i] = y[j] THEN 0.0 ELSE 1.0 END + least(up, lf, dg)", "CAST('inf' AS DOUBLE)", "CAST('inf' AS DOUBLE)", "r[ny + 1]"))(lambda s, d: _pairs(talks(s, d), "dtw"))
 register("dist_dtw_normalized")(lambda s, d: _pairs(talks(s, d), "dtw", window=3, normalize=True))
-register("dist_softdtw")(lambda s, d: _pairs(talks(s, d), "softdtw"))
-register("dist_twed")(lambda s, d: _pairs(talks(s, d), "twed"))
-register("dist_nms")(lambda s, d: _pairs(talks(s, d), "nms"))
-register("dist_nmsmst")(lambda s, d: _pairs(talks(s, d), "nmsmst"))
+_LOW = "least(up, lf, dg)"
+_SOFT = f"CASE WHEN x[i] = y[j] THEN 0.0 ELSE 1.0 END + {_LOW} - ln(exp({_LOW} - up) + exp({_LOW} - lf) + exp({_LOW} - dg))"
+register("dist_softdtw", _dp(_SOFT, "CAST('inf' AS DOUBLE)", "CAST('inf' AS DOUBLE)", "r[ny + 1]"))(lambda s, d: _pairs(talks(s, d), "softdtw"))
+_DROP = "(1 + CASE WHEN {i} > 1 THEN 0.001 + CASE WHEN {x}[{i}] <> {x}[{i} - 1] THEN 1 ELSE 0 END ELSE 0 END)"
+_TWED = f"least(dg + CASE WHEN x[i] <> y[j] THEN 1.0 ELSE 0.0 END + 0.001 * abs(i - j) * CASE WHEN i > 1 AND j > 1 THEN 2 ELSE 1 END + CASE WHEN i > 1 AND j > 1 AND x[i - 1] <> y[j - 1] THEN 1.0 ELSE 0.0 END, up + {_DROP.format(i='i', x='x')}, lf + {_DROP.format(i='j', x='y')})"
+register(
+    "dist_twed",
+    _dp(_TWED, f"list_sum(list_transform(range(1, j + 1), lambda h: {_DROP.format(i='h', x='y')}))", f"list_sum(list_transform(range(1, i + 1), lambda h: {_DROP.format(i='h', x='x')}))", "r[ny + 1]"),
+)(lambda s, d: _pairs(talks(s, d), "twed"))
+# Embeddings of both and of each alone: the pairs then also hold every sequence with itself.
+_NMS = _dp("up + lf - dg + CASE WHEN x[i] = y[j] THEN dg + 1 ELSE 0.0 END", "0.0", "0.0", "r[ny + 1]").replace("a.id < b.id", "a.id <= b.id")
+_NMS = f"WITH n AS ({_NMS}) SELECT n.id_a, n.id_b, round({{}}, 6) AS distance FROM n JOIN n a ON a.id_a = n.id_a AND a.id_b = n.id_a JOIN n b ON b.id_a = n.id_b AND b.id_b = n.id_b WHERE n.id_a < n.id_b"
+register("dist_nms", _NMS.format("1 - n.distance / greatest(a.distance, b.distance)"))(lambda s, d: _pairs(talks(s, d), "nms"))
+register("dist_nmsmst", _NMS.format("greatest(0.0, 1 - n.distance / sqrt(a.distance * b.distance))"))(lambda s, d: _pairs(talks(s, d), "nmsmst"))
 
 
 # --- clustering, quality, discrepancy --------------------------------------------------------------
