@@ -30,10 +30,11 @@ def components(edges: DataFrame) -> DataFrame:
         # Large star: every neighbour above a node is linked to the node's least neighbour (or itself).
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b")
+        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         # Small star: a node and its lower neighbours are linked to the least of them.
         least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b")
+        ends = F.when(F.col("a") == F.col("m"), F.array("b")).otherwise(F.array("a", "b"))
+        small = large.join(least, "b").select(F.col("m").alias("a"), F.explode(ends).alias("b"))
         edges = materialise(small.distinct())
     else:
         raise RuntimeError("components did not settle")
