@@ -1,11 +1,12 @@
 """Quality rules as weak supervision, in DataFrame expressions only.
 
-Eight rules look at figures of a whole text; each votes good (1), bad (-1) or abstains (0). The votes
-of all documents are counted by pattern, of which there are at most 3**8; expectation-maximisation over
-that table estimates, for both latent classes, how often each rule votes either way, and the share of
-good documents. A document's verdict is the posterior probability of the good class, instead of a demand
-that all rules pass. The EM starts from "any bad vote is bad" and so learns which bad votes are to be
-trusted.
+Eight rules look at figures of a whole text; each votes good (1), bad (-1) or, between two bounds and
+where its figure is undefined, abstains (0). The votes of all documents are counted by pattern, of which
+there are at most 3**8; expectation-maximisation over that table estimates, for both latent classes, how
+often each rule votes either way, and the share of good documents. A document's verdict is the posterior
+probability of the good class, instead of a demand that all rules pass. Each kind of junk has two rules
+that see it; the EM starts from "two bad votes are bad, one is in doubt" and so learns which rules' bad
+votes are borne out by others. The length of a text is no vote: it would part short from long texts.
 
 Defined results: a null text is the empty text, with no words and no good vote; rows may repeat and each
 counts; an empty table gives no rows.
@@ -20,16 +21,18 @@ from pyspark.sql import functions as F
 
 from pathwise.llm.runtime import collect_bounded, materialise
 
-RULES = ("length", "symbols", "capitals", "lines", "repeats", "word_size", "shouts", "prose")
+RULES = ("symbols", "marked", "capitals", "lines", "repeats", "word_size", "shouts", "prose")
 ROUNDS = 30
 MIN_WORDS = 50
 KEEP_PROBABILITY = 0.5
+#: Probability of good before the first round, by the number of bad votes; the last holds for more.
+START = (0.98, 0.4, 0.02)
 #: Pseudo-votes that keep every estimated rate off 0 and 1.
 PRIOR = 1.0
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, text figures and n_lines, n_capitals, n_shouts, n_stops of every row."""
+    """doc_id, text figures and n_lines, n_marked, n_capitals, n_shouts, n_stops of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.filter(F.split(text, "[ \\t-\\r]+"), lambda x: x != "")
     base = docs.select("doc_id", text.alias("text"), words.alias("w"))
@@ -56,6 +59,7 @@ def features(docs: DataFrame) -> DataFrame:
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
         F.size(lines).cast("long").alias("n_lines"),
+        F.size(F.filter("w", lambda x: x.rlike("[#*$%&|<>]"))).cast("long").alias("n_marked"),
         F.length(F.regexp_replace("text", "[^A-Z]+", "")).cast("long").alias("n_capitals"),
         (F.length("text") - F.length(F.replace("text", F.lit("!"), F.lit("")))).cast("long").alias("n_shouts"),
         (F.length("text") - F.length(F.replace("text", F.lit("."), F.lit("")))).cast("long").alias("n_stops"),
@@ -67,20 +71,20 @@ def _vote(bad: Column, good: Column) -> Column:
 
 
 def votes() -> dict[str, Column]:
-    """Each rule's vote from the columns of features(); without words only the length rule votes."""
+    """Each rule's vote from the columns of features(); without words all abstain."""
     n = F.when(F.col("n_words") > 0, F.col("n_words"))
     share = lambda c: F.col(c) / n
     lines = F.col("n_dup_lines") / F.when(F.col("n_lines") > 0, F.col("n_lines"))
     capitals = F.col("n_capitals") / F.when(F.col("word_chars") > 0, F.col("word_chars"))
     return {
-        "length": _vote(F.col("n_words") < MIN_WORDS, F.col("n_words") >= 80),
-        "symbols": _vote(share("n_symbols") > 0.3, share("n_symbols") < 0.05),
-        "capitals": _vote(capitals > 0.4, capitals < 0.15),
-        "lines": _vote(lines > 0.3, (lines < 0.05) & (F.col("n_lines") > 1)),
-        "repeats": _vote(share("n_repeat_words") > 0.5, share("n_repeat_words") < 0.2),
-        "word_size": _vote((share("word_chars") < 2.5) | (share("word_chars") > 14), (share("word_chars") >= 3) & (share("word_chars") <= 10)),
-        "shouts": _vote(share("n_shouts") > 0.3, share("n_shouts") < 0.05),
-        "prose": _vote(share("n_stops") < 0.003, share("n_stops") > 0.02),
+        "symbols": _vote(share("n_symbols") > 0.3, share("n_symbols") < 0.1),
+        "marked": _vote(share("n_marked") > 0.2, share("n_marked") < 0.1),
+        "capitals": _vote(capitals > 0.4, capitals < 0.2),
+        "lines": _vote(lines > 0.5, lines < 0.35),
+        "repeats": _vote(share("n_repeat_words") > 0.3, share("n_repeat_words") < 0.15),
+        "word_size": _vote((share("word_chars") < 2.5) | (share("word_chars") > 14), (share("word_chars") >= 3) & (share("word_chars") <= 12)),
+        "shouts": _vote(share("n_shouts") > 0.3, share("n_shouts") < 0.1),
+        "prose": _vote(share("n_stops") < 0.003, share("n_stops") > 0.01),
     }
 
 
@@ -89,7 +93,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tu
     total = sum(n for _, n in patterns)
     if not total:
         return 0.0, [{-1: 0.0, 0: 0.0, 1: 0.0} for _ in RULES]
-    good = [0.02 if -1 in v else 0.98 for v, _ in patterns]
+    good = [START[min(v.count(-1), len(START) - 1)] for v, _ in patterns]
     for _ in range(rounds):
         mass = sum(g * n for g, (_, n) in zip(good, patterns, strict=True))
         share = (mass + PRIOR) / (total + 2 * PRIOR)
@@ -161,14 +165,14 @@ dup AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FR
 rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 3)) AS p FROM dup) GROUP BY r),
 l AS (SELECT d.*, list_filter(string_split(x, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')) AS ls FROM d),
 f AS (SELECT l.r, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(ls) AS n_lines, length(regexp_replace(x, '[^A-Z]', '', 'g')) AS caps, length(x) - length(replace(x, '!', '')) AS shouts, length(x) - length(replace(x, '.', '')) AS stops
+  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(ls) AS n_lines, len(list_filter(w, lambda y: regexp_matches(y, '[#*$%&|<>]'))) AS marked, length(regexp_replace(x, '[^A-Z]', '', 'g')) AS caps, length(x) - length(replace(x, '!', '')) AS shouts, length(x) - length(replace(x, '.', '')) AS stops
   FROM l LEFT JOIN rep ON rep.r = l.r),
-q AS (SELECT *, n_symbols / nullif(n_words, 0) AS sy, caps / nullif(word_chars, 0) AS ca, n_dup_lines / nullif(n_lines, 0) AS li, n_repeat_words / nullif(n_words, 0) AS re, word_chars / nullif(n_words, 0) AS ws, shouts / nullif(n_words, 0) AS sh, stops / nullif(n_words, 0) AS st FROM f),
-v AS (SELECT *, [CASE WHEN n_words < 50 THEN -1 WHEN n_words >= 80 THEN 1 ELSE 0 END, CASE WHEN sy > 0.3 THEN -1 WHEN sy < 0.05 THEN 1 ELSE 0 END, CASE WHEN ca > 0.4 THEN -1 WHEN ca < 0.15 THEN 1 ELSE 0 END,
-  CASE WHEN li > 0.3 THEN -1 WHEN li < 0.05 AND n_lines > 1 THEN 1 ELSE 0 END, CASE WHEN re > 0.5 THEN -1 WHEN re < 0.2 THEN 1 ELSE 0 END, CASE WHEN ws < 2.5 OR ws > 14 THEN -1 WHEN ws >= 3 AND ws <= 10 THEN 1 ELSE 0 END,
-  CASE WHEN sh > 0.3 THEN -1 WHEN sh < 0.05 THEN 1 ELSE 0 END, CASE WHEN st < 0.003 THEN -1 WHEN st > 0.02 THEN 1 ELSE 0 END] AS v FROM q),
+q AS (SELECT *, n_symbols / nullif(n_words, 0) AS sy, marked / nullif(n_words, 0) AS mk, caps / nullif(word_chars, 0) AS ca, n_dup_lines / nullif(n_lines, 0) AS li, n_repeat_words / nullif(n_words, 0) AS re, word_chars / nullif(n_words, 0) AS ws, shouts / nullif(n_words, 0) AS sh, stops / nullif(n_words, 0) AS st FROM f),
+v AS (SELECT *, [CASE WHEN sy > 0.3 THEN -1 WHEN sy < 0.1 THEN 1 ELSE 0 END, CASE WHEN mk > 0.2 THEN -1 WHEN mk < 0.1 THEN 1 ELSE 0 END, CASE WHEN ca > 0.4 THEN -1 WHEN ca < 0.2 THEN 1 ELSE 0 END,
+  CASE WHEN li > 0.5 THEN -1 WHEN li < 0.35 THEN 1 ELSE 0 END, CASE WHEN re > 0.3 THEN -1 WHEN re < 0.15 THEN 1 ELSE 0 END, CASE WHEN ws < 2.5 OR ws > 14 THEN -1 WHEN ws >= 3 AND ws <= 12 THEN 1 ELSE 0 END,
+  CASE WHEN sh > 0.3 THEN -1 WHEN sh < 0.1 THEN 1 ELSE 0 END, CASE WHEN st < 0.003 THEN -1 WHEN st > 0.01 THEN 1 ELSE 0 END] AS v FROM q),
 s AS (SELECT list(v ORDER BY v) AS vs, list(n ORDER BY v) AS ns, CAST(sum(n) AS DOUBLE) AS total FROM (SELECT v, count(*) AS n FROM v GROUP BY v)),
-em AS (SELECT 0 AS k, list_transform(vs, lambda y: CASE WHEN list_contains(y, -1) THEN CAST(0.02 AS DOUBLE) ELSE CAST(0.98 AS DOUBLE) END) AS g FROM s UNION ALL
+em AS (SELECT 0 AS k, list_transform(vs, lambda y: CAST(CASE len(list_filter(y, lambda z: z = -1)) WHEN 0 THEN {START[0]} WHEN 1 THEN {START[1]} ELSE {START[2]} END AS DOUBLE)) AS g FROM s UNION ALL
   SELECT k + 1, list_transform(vs, lambda y: 1 / (1 + exp(-greatest(-50.0, least(50.0, odds + list_sum(list_transform([{rules}], lambda j: CASE y[j] WHEN -1 THEN bad[j] WHEN 1 THEN fine[j] ELSE 0.0 END))))))) FROM
   (SELECT k, vs, ln(((mass + {PRIOR}) / (total + 2 * {PRIOR})) / (1 - (mass + {PRIOR}) / (total + 2 * {PRIOR}))) AS odds,
     list_transform([{rules}], lambda j: least(0.0, {weight(-1)})) AS bad, list_transform([{rules}], lambda j: greatest(0.0, {weight(1)})) AS fine FROM

@@ -174,7 +174,9 @@ def test_quality_verdicts_follow_the_labels(spark):
     got = [r for r in queries.op9_quality_rules(spark, d).collect() if r.doc_id in label]
     right = sum(r.kept == bool(label[r.doc_id]) for r in got)
     clean = [r.kept for r in got if label[r.doc_id] and not r.base_failed]
+    junk = [r.kept for r in got if not label[r.doc_id] and not r.base_failed]
     assert right / len(got) > 0.85
+    assert junk and sum(junk) / len(junk) < 0.05
     assert sum(clean) / len(clean) > 0.97
 
 
