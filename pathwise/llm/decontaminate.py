@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathwise.llm.runtime import neutral
 from pathwise.llm.text import ALNUM, Texts, Words, slices
 
 WINDOW = 10
@@ -271,6 +272,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_word
     A hit span of more than ``max_words`` words is removed from the text; a document of which more
     than ``max_coverage`` of the words are hit goes as a whole. Other texts stay byte for byte.
     """
+    docs, back = neutral(docs, ("text",))
     columns = docs.columns
     found = matches(docs, benchmark, window).where((F.col("hit_n_words") == 0) | (n_hit() <= max_coverage * F.col("hit_n_words")))
 
@@ -290,7 +292,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_word
                 texts = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays([texts if c == "text" else batch.column(batch.schema.get_field_index(c)) for c in columns], columns)
 
-    return found.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
+    return found.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)).select(*back)
 
 
 #: DuckDB SQL for report() over ``documents`` and ``benchmark``.

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathwise.llm.components import components
-from pathwise.llm.runtime import materialise
+from pathwise.llm.runtime import materialise, neutral
 from pathwise.llm.text import ALNUM, Texts, Words, mix, slices
 
 WORDS = 5
@@ -349,5 +349,6 @@ def join(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs``, same columns, with the row of the least id of each group only."""
-    gone = join(docs).where("doc_id <> group_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti").select(*docs.columns)
+    gone = join(docs).where("doc_id <> group_id").select("doc_id").distinct()
+    docs, back = neutral(docs, ("doc_id",))
+    return docs.join(gone, "doc_id", "left_anti").select(*back)

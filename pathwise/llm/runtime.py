@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -33,3 +34,12 @@ def collect_bounded(df: DataFrame, bound: int, what: str) -> list:
     if len(rows) > bound:
         raise ValueError(f"{what}: more than {bound} rows")
     return rows
+
+
+def neutral(df: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, list]:
+    """``df`` with every column but those to keep named by its place, so no name clashes with a helper's.
+
+    Also the columns that give the old names and order back.
+    """
+    new = {c: c if c in keep else f"c{k}" for k, c in enumerate(df.columns)}
+    return df.select(*(F.col(f"`{c}`").alias(n) for c, n in new.items())), [F.col(n).alias(c) for c, n in new.items()]

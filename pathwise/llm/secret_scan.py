@@ -23,7 +23,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathwise.llm.runtime import materialise
+from pathwise.llm.runtime import materialise, neutral
 
 MARK = "[SECRET]"
 
@@ -136,6 +136,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = MARK) -
 
     Only texts in which a pattern occurs are shuffled; the others pass as they are.
     """
+    docs, back = neutral(docs, ("text",))
     columns = docs.columns
     suspects = docs.where(_any(rules))
     found = materialise(scan(suspects.select("text"), None, rules).where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")))
@@ -151,7 +152,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = MARK) -
     tail = F.array_max(F.transform("_spans", lambda s: s["end"]))
     cut = F.concat(F.array_join(pieces, ""), F.col("text").substr(tail + one, F.length("text")))
     kept = [F.coalesce(cut, F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in columns]
-    return docs.where(~_any(rules)).unionByName(hit.select(*kept))
+    return docs.where(~_any(rules)).unionByName(hit.select(*kept)).select(*back)
 
 
 def oracle(rules: tuple[Rule, ...] = RULES) -> str:

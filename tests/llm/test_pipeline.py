@@ -42,3 +42,16 @@ def test_stages_take_edge_cases_and_empty_tables(spark, sf_dir):
         frame = docs(spark, rows)
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, frame, sf_dir).collect()
+
+
+def test_stages_keep_extra_columns_with_clashing_names(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from pathwise.llm import decontaminate, near_dup, quality
+
+    extra = ["hit_words", "hit_items", "_blob", "_spans", "_gone", "fp", "blob", "w", "s", "p", "n_words", "c0", "root", "kept"]
+    frame = docs(spark, edge_rows()).withColumns({c: F.lit(c) for c in extra})
+    bench = spark.createDataFrame([(1, "tie tie")], "item_id long, text string")
+    for out in (quality.keep(frame), near_dup.keep_one(frame), decontaminate.remove(frame, bench), secret_scan.redact(frame)):
+        assert out.columns == frame.columns
+        assert all(r[c] == c for r in out.collect() for c in extra)
