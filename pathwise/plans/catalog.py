@@ -367,14 +367,14 @@ _WORD = "l AS (SELECT id, string_agg(chr(96 + CAST(dr AS INT)), '' ORDER BY time
 register("dist_om_unit", f"WITH {_E}, {_WORD} SELECT a.id AS id_a, b.id AS id_b, CAST(levenshtein(a.st, b.st) AS DOUBLE) AS distance FROM l a JOIN l b ON a.id < b.id")(lambda s, d: _pairs(events(s, d), "om", sub_cost=1.0))
 
 
-def _dp(cell: str, top: str, side: str, out: str, first: str = "0.0", extra: str = "") -> str:
-    """SQL that fills a DP table row by row. In ``cell``: dg, up, lf, and i, j from 1."""
+def _dp(cell: str, top: str, side: str, out: str, extra: str = "", carry: str = "0") -> str:
+    """SQL that fills a DP table row by row. In ``cell``: dg, up, lf, i and j from 1, and mp, the value of ``carry``."""
     cell = cell.replace("dg", "r[j]").replace("up", "r[j + 1]").replace("lf", "acc[-1]")
     cell = re.sub(r"\bi\b", "(i0 + 1)", re.sub(r"\bj\b", "CAST(q[1] AS INT)", cell))
     side = re.sub(r"\bi\b", "(i0 + 1)", side)
-    return f"""WITH RECURSIVE {_T}{extra}, {_P},
-dp AS (SELECT id_a, id_b, x, y, nx, ny, 0 AS i0, list_prepend(CAST({first} AS DOUBLE), list_transform(range(1, ny + 1), lambda j: CAST({top} AS DOUBLE))) AS r FROM p
-UNION ALL SELECT id_a, id_b, x, y, nx, ny, i0 + 1, list_reduce(list_prepend([CAST({side} AS DOUBLE)], list_transform(range(1, ny + 1), lambda k: [CAST(k AS DOUBLE)])), lambda acc, q: list_append(acc, CAST({cell} AS DOUBLE))) FROM dp WHERE i0 < nx)
+    return f"""WITH RECURSIVE {_T}{extra}, {_P}, mp AS (SELECT {carry} AS mp),
+dp AS (SELECT id_a, id_b, x, y, nx, ny, mp, 0 AS i0, list_prepend(CAST(0 AS DOUBLE), list_transform(range(1, ny + 1), lambda j: CAST({top} AS DOUBLE))) AS r FROM p CROSS JOIN mp
+UNION ALL SELECT id_a, id_b, x, y, nx, ny, mp, i0 + 1, list_reduce(list_prepend([CAST({side} AS DOUBLE)], list_transform(range(1, ny + 1), lambda k: [CAST(k AS DOUBLE)])), lambda acc, q: list_append(acc, CAST({cell} AS DOUBLE))) FROM dp WHERE i0 < nx)
 SELECT id_a, id_b, round({out}, 6) AS distance FROM dp WHERE i0 = nx"""
 
 
@@ -383,7 +383,10 @@ _EDIT = "least(up + 1, lf + 1, dg + {sub})"
 register("dist_om", _dp(_EDIT.format(sub=_SUB2), "j", "i", "r[ny + 1]"))(lambda s, d: _pairs(talks(s, d), "om"))
 register("dist_om_normalized", _dp(_EDIT.format(sub=_SUB2), "j", "i", "r[ny + 1] / greatest(nx, ny)"))(lambda s, d: _pairs(talks(s, d), "om", normalize=True))
 register("dist_lcs", _dp(_EDIT.format(sub=_SUB2), "j", "i", "r[ny + 1]"))(lambda s, d: _pairs(talks(s, d), "lcs"))
-register("dist_om_trate")(lambda s, d: (lambda p: _pairs(p, "om", sm=transitions.substitution_cost_matrix(p)))(talks(s, d)))
+register(
+    "dist_om_trate",
+    _dp(_EDIT.format(sub="CASE WHEN x[i] = y[j] THEN 0.0 ELSE 2 - mp[x[i] || '>' || y[j]] - mp[y[j] || '>' || x[i]] END"), "j", "i", "r[ny + 1]", f", {_RATES}", "(SELECT map(list(f || '>' || t), list(p)) FROM r)"),
+)(lambda s, d: (lambda p: _pairs(p, "om", sm=transitions.substitution_cost_matrix(p)))(talks(s, d)))
 _DEPTH = "(least({i} - 1, {n} - {i}) / greatest({n} - 1, 1))"
 register("dist_omloc", _dp(_EDIT.format(sub=f"{_SUB2} * (1 + (1 - ({_DEPTH.format(i='i', n='nx')} + {_DEPTH.format(i='j', n='ny')}) / 2))"), "j", "i", "r[ny + 1]"))(lambda s, d: _pairs(talks(s, d), "omloc"))
 _RUN = "sqrt(CAST(len(list_filter(range(1, nx + 1), lambda h: list_unique(x[least(h, i):greatest(h, i)]) = 1)) * len(list_filter(range(1, ny + 1), lambda h: list_unique(y[least(h, j):greatest(h, j)]) = 1)) AS DOUBLE))"
