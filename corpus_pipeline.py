@@ -8,31 +8,36 @@ from pyspark.sql import functions as F
 
 from pathwise.llm import bpe, decontaminate, near_dup, quality, secret_scan
 from pathwise.llm.queries import table
-from pathwise.llm.runtime import materialise
+from pathwise.llm.runtime import bound_batches, materialise
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
+    bound_batches(spark)
     return quality.keep(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
+    bound_batches(spark)
     return near_dup.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Test passages are cut from texts; documents that are mostly test passages go."""
+    bound_batches(spark)
     return _measured(decontaminate.remove(docs, table(spark, sf_dir, "benchmark")))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Found secrets are replaced by a mark."""
+    bound_batches(spark)
     return _measured(secret_scan.redact(docs))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each text's token ids, and their digests."""
+    bound_batches(spark)
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 

@@ -9,6 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows and bytes of an Arrow batch of texts. Spark's defaults let a batch of long texts, which both the
+#: executor and its Python workers hold several times over, take hundreds of MB.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to what texts need; smaller settings stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        digits = "".join(c for c in now or "" if c.isdigit())
+        if not digits or not now.isdigit() or not 0 < int(digits) <= most:
+            spark.conf.set(key, str(most))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's shared folder; only where none is set, as in tests, use a local one."""
     sc = spark.sparkContext
