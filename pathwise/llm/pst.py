@@ -2,14 +2,18 @@
 
 A text is the sequence of its words, A-Z lowered, each word spelled in bytes, with a blank between words
 and an end symbol behind the last. The tree holds contexts of up to ``DEPTH`` symbols. A context is a
-candidate if it makes up ``MIN_SHARE`` of all training positions, so there are at most
-DEPTH / MIN_SHARE of them; it is retained if its next-symbol distribution diverges from its parent's
+candidate if it occurs ``MIN_COUNT`` times, at every size of the corpus; it is retained if its next-symbol distribution diverges from its parent's
 (count times Kullback-Leibler divergence above ``MIN_DIVERGENCE``), or if a retained context ends in
 it. Distributions are smoothed towards the parent's, the root's towards the uniform one. A symbol is
 scored in the state of the longest retained suffix of what precedes it. A word and the symbol that
 closes it are one step; its probability is the tree's, interpolated with the known words' shares.
 
 Counting: each task counts spelled contexts and words of its own texts with sorted arrays and sends sums.
+Growing: the suffix of HEAD_DEPTH + 1 symbols deals the contexts to groups, whose subtrees grow apart on
+the cluster; a partition holds the distinct contexts of its groups. Only retained contexts leave it, with
+their seen symbols, in blocks of ``BLOCK`` rows. A block is gathered and broadcast; where the tree has several,
+the texts pass once for each, and a symbol is scored by the block of its group.
+
 The words' counts stay a distributed table. Words that make up ``HEAD_SHARE`` of all tokens, at most
 1 / HEAD_SHARE, are broadcast; the other words of the texts are joined with the table, and as no such
 word is frequent, no key of that join is hot.
@@ -23,17 +27,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathwise.llm.runtime import materialise
 from pathwise.llm.text import LOWER, NONSPACE, SPACE, Texts, Words, slices
 
 DEPTH = 5
-MIN_SHARE = 4e-6
+MIN_COUNT = 10
 MIN_DIVERGENCE = 2.0
 #: Pseudo-count of the parent's distribution for each distinct next symbol.
 STRENGTH = 1.0
@@ -41,7 +46,10 @@ STRENGTH = 1.0
 TREE_SHARE = 0.85
 HEAD_SHARE = 1e-6
 FLUSH = 1 << 20
-CHUNK = 4096
+#: Contexts of up to this depth are in every block; one symbol more makes a group, whose subtree is in one block.
+HEAD_DEPTH = 2
+#: Rows of the tree that are gathered and broadcast at once.
+BLOCK = 6_000_000
 
 END, BLANK, CONTROL = 0, 1, 2
 
@@ -57,6 +65,7 @@ def _codes() -> tuple[np.ndarray, int]:
 
 
 CODE, SYMBOLS = _codes()
+NODE = SYMBOLS ** (DEPTH + 1)
 _CONTROLS = int((CODE[:128] == CONTROL).sum()) - 26  # A-Z are lowered first
 
 
@@ -146,55 +155,121 @@ def _count(batches: Iterable[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.string()), pa.array(k), pa.array(c)], ["w", "g", "n"])
 
 
+Level = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _level(grams: np.ndarray, counts: np.ndarray, parent: tuple[np.ndarray, np.ndarray], depth: int, min_count: float) -> Level:
+    """Candidates of a depth from all its grams, sorted: grams and probabilities, contexts, parent's weights, divergences."""
+    edge = np.flatnonzero(np.diff(grams // SYMBOLS, prepend=-1))
+    if not len(edge):
+        return grams, np.zeros(0), grams, np.zeros(0), np.zeros(0)
+    total, size = np.add.reduceat(counts, edge), np.diff(np.append(edge, len(grams)))
+    kept = np.repeat(total >= min_count, size)
+    grams, counts, size, total = grams[kept], counts[kept], size[total >= min_count], total[total >= min_count]
+    if not len(grams):
+        return grams, np.zeros(0), grams, np.zeros(0), np.zeros(0)
+    edge = np.cumsum(size) - size
+    up = parent[1][np.searchsorted(parent[0], grams % SYMBOLS**depth)]  # a candidate's suffix is one too
+    weight = STRENGTH * size
+    p = (counts + np.repeat(weight, size) * up) / np.repeat(total + weight, size)
+    share = weight / (total + weight)
+    unseen = np.maximum(0.0, 1.0 - np.add.reduceat(up, edge))
+    gain = total * (np.add.reduceat(p * np.log(p / up), edge) + share * np.log(share) * unseen)
+    return grams, p, grams[edge] // SYMBOLS, share, gain
+
+
+def _levels(grams: np.ndarray, counts: np.ndarray, depths: range, parent: tuple[np.ndarray, np.ndarray], min_count: float) -> list[Level]:
+    out = []
+    for d in depths:
+        out.append(_level(*_summed(grams % SYMBOLS ** (d + 1), counts), parent, d, min_count))
+        parent = out[-1][:2]
+    return out
+
+
+def _retained(levels: list[Level], depths: range, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes and entries of the retained contexts; ``below`` has the retained contexts one deeper than the levels."""
+    nodes, shares, keys, values = [], [], [], []
+    for d, (grams, p, ctx, share, gain) in zip(reversed(depths), reversed(levels), strict=True):
+        strong = gain >= MIN_DIVERGENCE
+        strong[np.searchsorted(ctx, below % SYMBOLS**d)] = True
+        below = ctx[strong]
+        kept = np.isin(grams // SYMBOLS, below)
+        nodes.append(d * NODE + below)
+        shares.append(np.log10(share[strong]))
+        keys.append(d * NODE + grams[kept])
+        values.append(np.log10(p[kept]))
+    return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in ((nodes, np.int64), (shares, float), (keys, np.int64), (values, float)))
+
+
 class Tree:
-    """child[s, c]: the state of the context c before that of s, or 0; logp[s, c]: of symbol c in state s."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], root: np.ndarray) -> None:
-        """levels: for each depth the candidates' next symbols, flat: context, symbol, count."""
-        p = [((root + 0.5) / (root.sum() + 0.5 * SYMBOLS))[None, :].astype(np.float32)]
-        codes, parents, strong = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.ones(1, bool)]
-        for d, (ctx, symbol, count) in enumerate(levels, 1):
-            order = np.argsort(ctx, kind="stable")
-            names, first = np.unique(ctx[order], return_index=True)
-            symbol, count, first = symbol[order], count[order], np.append(first, len(ctx))
-            parent = np.searchsorted(codes[-1], names % SYMBOLS ** (d - 1))
-            own, gain = np.empty((len(names), SYMBOLS), np.float32), np.empty(len(names))
-            for a in range(0, len(names), CHUNK):  # dense rows of a few nodes at a time
-                b = min(a + CHUNK, len(names))
-                rows = np.zeros((b - a, SYMBOLS))
-                rows[np.repeat(np.arange(b - a), np.diff(first[a : b + 1])), symbol[first[a] : first[b]]] = count[first[a] : first[b]]
-                total, up = rows.sum(1), p[-1][parent[a:b]].astype(float)
-                weight = STRENGTH * (rows > 0).sum(1)
-                rows = (rows + weight[:, None] * up) / (total + weight)[:, None]
-                own[a:b], gain[a:b] = rows, total * (rows * np.log(rows / up)).sum(1)
-            codes.append(names)
-            parents.append(parent)
-            strong.append(gain >= MIN_DIVERGENCE)
-            p.append(own)
-        for d in range(len(codes) - 1, 1, -1):
-            strong[d - 1][parents[d][strong[d]]] = True
-        states = [np.cumsum(s) - 1 for s in strong]
-        base = np.cumsum([0, *(int(s.sum()) for s in strong)])
-        self.logp = np.log10(np.concatenate([x[s] for x, s in zip(p, strong, strict=True)])).astype(np.float32)
-        self.child = np.zeros((int(base[-1]), SYMBOLS), np.int32)
-        for d in range(1, len(codes)):
-            s = strong[d]
-            oldest = codes[d][s] // SYMBOLS ** (d - 1)
-            self.child[base[d - 1] + states[d - 1][parents[d][s]], oldest] = base[d] + states[d][s]
-        self.depth = len(codes) - 1
+    """A tree, or a block of one: the subtrees of some groups, with the contexts shorter than a group.
+
+    A node or entry is its depth times NODE plus its context or gram; an entry has log10 of a seen symbol's
+    probability, a node that of its parent's share, which every unseen symbol takes. Entries of depth 0 are the root's.
+    """
+
+    def __init__(self, depth: int, nodes: np.ndarray, shares: np.ndarray, keys: np.ndarray, values: np.ndarray, groups: tuple[int, int] | None = None) -> None:
+        """groups: the first and last of the block; None takes all."""
+        self.depth, self.groups = depth, groups
+        order = np.argsort(nodes)
+        self.nodes, self.shares = nodes[order], shares[order].astype(np.float32)
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order].astype(np.float32)
+
+    @staticmethod
+    def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+        return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
+
+    def _depth(self, grams: np.ndarray) -> np.ndarray:
+        """The depth of the longest retained suffix of each gram's context."""
+        depth, open_ = np.zeros(len(grams), np.int64), np.arange(len(grams))
+        for d in range(1, self.depth + 1):
+            open_ = open_[self._find(self.nodes, d * NODE + grams[open_] // SYMBOLS % SYMBOLS**d)[1]]
+            depth[open_] = d
+        return depth
+
+    def _value(self, grams: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        """log10 probability of the grams' symbols in the states of that depth."""
+        out, open_ = np.zeros(len(grams)), np.ones(len(grams), bool)
+        for d in range(self.depth, -1, -1):
+            at = np.flatnonzero(open_ & (depth >= d))
+            i, seen = self._find(self.keys, d * NODE + grams[at] % SYMBOLS ** (d + 1))
+            out[at[seen]] += self.values[i[seen]]
+            open_[at[seen]] = False
+            if d and not seen.all():
+                at = at[~seen]
+                out[at] += self.shares[self._find(self.nodes, d * NODE + grams[at] // SYMBOLS % SYMBOLS**d)[0]]
+        return out
+
+    @property
+    def _states(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.append(0, self.nodes // NODE), np.append(0, self.nodes % NODE)
+
+    @cached_property
+    def logp(self) -> np.ndarray:
+        """[s, c]: log10 probability of the symbol c in state s, the root first; dense, for small trees."""
+        depth, ctx = (np.repeat(x, SYMBOLS) for x in self._states)
+        return self._value(ctx * SYMBOLS + np.tile(np.arange(SYMBOLS), len(self.nodes) + 1), depth).reshape(-1, SYMBOLS).astype(np.float32)
+
+    @cached_property
+    def child(self) -> np.ndarray:
+        """[s, c]: the state of the context c before that of s, or 0; dense, for small trees."""
+        depth, ctx = (np.repeat(x, SYMBOLS) for x in self._states)
+        older = np.tile(np.arange(SYMBOLS), len(self.nodes) + 1)
+        at, found = self._find(self.nodes, (depth + 1) * NODE + older * SYMBOLS**depth + ctx)
+        return np.where(found, at + 1, 0).reshape(-1, SYMBOLS).astype(np.int32)
 
     def symbols(self, stream: Stream) -> np.ndarray:
-        """log10 probability of each symbol."""
-        state = np.zeros(len(stream.symbols), np.int32)
-        alive = np.ones(len(state), bool)
-        for j in range(1, self.depth + 1):
-            nxt = self.child[state, stream.context(j)]
-            alive &= nxt > 0
-            np.copyto(state, nxt, where=alive)
-        out = self.logp[state, stream.symbols].astype(np.float64)
+        """log10 probability of each symbol; 0 where another block has its group."""
+        grams, back = np.unique(stream.grams(max(self.depth, HEAD_DEPTH + 1)), return_inverse=True)
+        out = self._value(grams, self._depth(grams))
         if stream.controls:
-            out[stream.symbols == CONTROL] -= math.log10(_CONTROLS)
-        return out
+            out[grams % SYMBOLS == CONTROL] -= math.log10(_CONTROLS)
+        if self.groups is not None:
+            group = grams // SYMBOLS % SYMBOLS ** (HEAD_DEPTH + 1)
+            out[(group < self.groups[0]) | (group > self.groups[1])] = 0.0
+        return out[back]
 
     def score(self, stream: Stream) -> np.ndarray:
         """log10 probability of each text by the tree alone."""
@@ -212,22 +287,58 @@ class Tree:
         return each[words], ends
 
 
-def grow(grams: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE) -> Tree:
-    """The tree of the spelled contexts (g, n). Candidates and their symbols come to the driver, bounded by min_share."""
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    root = np.zeros(SYMBOLS)
-    if not total:
-        return Tree([], root)
-    table, levels = grams, []
-    for d in range(depth, 0, -1):
-        # A context has at most SYMBOLS rows, so its window is small.
-        of = F.sum("n").over(Window.partitionBy("c"))
-        got = table.select(F.expr(f"g div {SYMBOLS}").alias("c"), F.expr(f"cast(g % {SYMBOLS} as int)").alias("s"), "n").withColumn("t", of).where(F.col("t") >= min_share * total).select("c", "s", "n").toArrow()
-        levels.append(tuple(got[k].to_numpy() for k in ("c", "s", "n")))
-        table = materialise(table.groupBy(F.expr(f"g % {SYMBOLS**d}L").alias("g")).agg(F.sum("n").alias("n")))
-    for r in table.collect():  # a row for each symbol
-        root[r.g] = r.n
-    return Tree(levels[::-1], root)
+def _subtrees(batches: Iterable[pa.RecordBatch], shipped, depths: range, min_count: float) -> Iterator[pa.RecordBatch]:
+    """Retained nodes (negative) and entries of the groups of a partition, which has all grams of each."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not held:
+        return
+    grams, counts = np.concatenate([g for g, _ in held]), np.concatenate([n for _, n in held])
+    nodes, shares, keys, values = _retained(_levels(grams, counts, depths, shipped.value, min_count), depths, np.zeros(0, np.int64))
+    groups = np.concatenate([nodes % NODE, keys % NODE // SYMBOLS]) % SYMBOLS ** depths[0]
+    rows, values = np.concatenate([-nodes, keys]), np.concatenate([shares, values]).astype(np.float32)
+    for a in range(0, len(rows), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in (groups, rows, values)], ["grp", "k", "v"])
+
+
+def trees(grams: DataFrame, depth: int = DEPTH, min_count: float = MIN_COUNT) -> Iterator[Tree]:
+    """The blocks of the tree of the spelled contexts (g, n), of BLOCK rows or a single group each."""
+    spark, cut = grams.sparkSession, min(depth, HEAD_DEPTH)
+    got = grams.groupBy(F.expr(f"g % {SYMBOLS ** (cut + 1)}L").alias("g")).agg(F.sum("n").alias("n")).toArrow()
+    short, counts = got["g"].to_numpy(), got["n"].to_numpy()
+    root = np.bincount(short % SYMBOLS, counts, SYMBOLS)
+    root = (root + 0.5) / (root.sum() + 0.5 * SYMBOLS)
+    head = _levels(short, counts, range(1, cut + 1), (np.arange(SYMBOLS), root), min_count)
+    sizes, table = [], None
+    if depth > cut and len(short):
+        depths, shipped = range(cut + 1, depth + 1), spark.sparkContext.broadcast(head[-1][:2])
+        group = F.expr(f"g div {SYMBOLS} % {SYMBOLS ** (cut + 1)}L")
+        dealt = grams.select("g", "n").repartition(group)
+        table = materialise(dealt.mapInArrow(lambda b: _subtrees(b, shipped, depths, min_count), "grp long, k long, v float"))
+        sizes = table.groupBy("grp").count().orderBy("grp").collect()
+    nodes, shares, keys, values = _retained(head, range(1, cut + 1), np.array([r["grp"] for r in sizes], np.int64))
+    keys, values = np.concatenate([np.arange(SYMBOLS), keys]), np.concatenate([np.log10(root), values])
+    blocks, held = [[]], 0
+    for r in sizes:
+        if held and held + r["count"] > BLOCK:
+            blocks.append([])
+            held = 0
+        blocks[-1].append(r["grp"])
+        held += r["count"]
+    for k, block in enumerate(blocks):
+        k_, v_ = np.zeros(0, np.int64), np.zeros(0)
+        if block:
+            got = table.where(F.col("grp").between(block[0], block[-1])).select("k", "v").toArrow()
+            k_, v_ = got["k"].to_numpy(), got["v"].to_numpy()
+        of = None if len(blocks) == 1 else (block[0] if k else 0, blocks[k + 1][0] - 1 if k + 1 < len(blocks) else NODE)
+        yield Tree(depth, np.append(nodes, -k_[k_ < 0]), np.append(shares, v_[k_ < 0]), np.append(keys, k_[k_ > 0]), np.append(values, v_[k_ > 0]), of)
+
+
+def grow(grams: DataFrame, depth: int = DEPTH, min_count: float = MIN_COUNT) -> Tree:
+    """The tree of the spelled contexts (g, n), if it is one block."""
+    tree, *more = trees(grams, depth, min_count)
+    if more:
+        raise ValueError("the tree has several blocks")
+    return tree
 
 
 def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -236,7 +347,7 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
     train = docs.where(~held).select("text")
     counted = materialise(train.mapInArrow(lambda b: _count(b, depth), "w string, g long, n long").groupBy("w", "g").agg(F.sum("n").alias("n")))
-    tree = grow(counted.where("g is not null").select("g", "n"), depth)
+    blocks = trees(counted.where("g is not null").select("g", "n"), depth)
     vocabulary = counted.where("w is not null").select("w", F.col("n").alias("c"))
     n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     denominator = n + 0.1 * (v + 1)
@@ -245,9 +356,14 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     if not ends:
         ends = (vocabulary.where("w = ''").agg(F.sum("c")).first()[0]) or 0
     stop = ends / max(1, n - ends)  # share of words that are a text's last
-    shipped = spark.sparkContext.broadcast((tree, *_head(head), denominator, ends, max(1, n - ends)))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(
+    texts, tree = docs.select("doc_id", held.alias("held_out"), "text", F.lit(None).cast("array<double>").alias("part")), next(blocks)
+    for after in blocks:  # a pass for each block but the last
+        part = spark.sparkContext.broadcast(tree)
+        texts = materialise(texts.mapInArrow(lambda b, part=part: _pass(b, part), f"doc_id {kind}, held_out boolean, text string, part array<double>"))
+        tree = after
+    shipped = spark.sparkContext.broadcast((tree, *_head(head), denominator, ends, max(1, n - ends)))
+    scored = texts.mapInArrow(
         lambda b: _score(b, shipped), f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, words string, steps array<float>, last int"
     )
     scored = materialise(scored.withColumn("r", F.monotonically_increasing_id()))
@@ -279,6 +395,28 @@ def _head(head: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], values[order]
 
 
+def _steps(tree: Tree, texts: Texts, before: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Tree.steps with what the blocks before gave: for each text its bare end, then its words."""
+    steps, ends = tree.steps(Stream(texts))
+    if before.null_count < len(before):
+        at = np.asarray(before.offsets)
+        flat, head = np.asarray(before.values)[at[0] : at[-1]], at[:-1] - at[0]
+        steps, ends = steps + np.delete(flat, head), ends + flat[head]
+    return steps, ends
+
+
+def _pass(batches: Iterable[pa.RecordBatch], shipped) -> Iterator[pa.RecordBatch]:
+    """Adds a block's steps to those of the blocks before."""
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            texts = Texts(batch.column(2))
+            steps, ends = _steps(shipped.value, texts, batch.column(3))
+            first = Words(texts, NONSPACE).first
+            offsets = first + np.arange(len(first))
+            part = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.insert(steps, first[:-1], ends)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], part], ["doc_id", "held_out", "text", "part"])
+
+
 def _score(batches: Iterable[pa.RecordBatch], shipped) -> Iterator[pa.RecordBatch]:
     """Sums over known frequent words, and each text's other occurrences, spelled, for the join."""
     tree, keys, values, denominator, ends, n_words = shipped.value
@@ -288,7 +426,7 @@ def _score(batches: Iterable[pa.RecordBatch], shipped) -> Iterator[pa.RecordBatc
             texts = Texts(batch.column(2))
             found = Words(texts, NONSPACE)
             h, m = found.hashes(), len(texts)
-            steps, score = tree.steps(Stream(texts))
+            steps, score = _steps(tree, texts, batch.column(3))
             at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
             known = keys[at] == h if len(keys) else np.zeros(len(h), bool)
             doc = found.doc()

@@ -82,6 +82,29 @@ def test_scores_of_empty_tables(spark):
     assert pst.score(docs(spark, [(11, "held out only")])).count() == 1
 
 
+def test_the_tree_grows_with_the_corpus(spark, rows):
+    """A context that occurs often enough is a candidate however large the corpus around it is."""
+    text = [t for _, t in rows[:60]]
+    keys, counts = np.unique(pst.Stream(Texts(pa.array(text))).grams(3), return_counts=True)
+    grams = [(int(k), int(n)) for k, n in zip(keys, counts)]
+    small = pst.grow(spark.createDataFrame(grams, "g long, n long"), 3)
+    a, b = (int(pst.CODE[ord(c)]) for c in "~^")
+    filler = ((a * pst.SYMBOLS + a) * pst.SYMBOLS + a) * pst.SYMBOLS + b
+    large = pst.grow(spark.createDataFrame([*grams, (filler, 10**9)], "g long, n long"), 3)
+    deep = lambda t: set(t.nodes[t.nodes >= 2 * pst.NODE].tolist())
+    assert len(deep(small)) > 50 and len(deep(small) - deep(large)) < 0.1 * len(deep(small))
+
+
+def test_blocks_of_the_tree_score_alike(spark, rows, monkeypatch):
+    some = rows + edge_rows()
+    key = lambda r: (str(r.doc_id), round(r.score, 2), r.n_known)
+    whole = pst.score(docs(spark, some)).collect()
+    monkeypatch.setattr(pst, "BLOCK", 25_000)
+    parts = pst.score(docs(spark, some)).collect()
+    assert len(whole) == len(parts)
+    assert np.allclose([r.score for r in sorted(whole, key=key)], [r.score for r in sorted(parts, key=key)], rtol=1e-5)
+
+
 # --- 5 ---------------------------------------------------------------------------------------------
 
 
