@@ -42,12 +42,18 @@ def _either_case(word: str) -> str:
 
 
 _KEYS = "|".join(map(_either_case, ("password", "passwd", "secret", "token", "api_?key")))
+#: A private key to its END line or, where that is missing, to the end of its base64 lines. Line ends may be escaped or blanks.
+_EOL = r"(?:[\x20\t\r\n]|\\[rn])+"
+_PEM = (
+    rf"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----(?:{_EOL}(?:Proc-Type|DEK-Info):[A-Za-z0-9,\x20-]*){{0,4}}"
+    rf"(?:[A-Za-z0-9+/=\x20\t\r\n\\]*-----END [A-Z ]{{0,40}}PRIVATE KEY-----|(?:(?:{_EOL}[A-Za-z0-9+/=]{{16,}})+(?:\r?\n[A-Za-z0-9+/=]{{1,15}})?)?)"
+)
 #: The base kinds, and those the method adds.
 RULES = (
     Rule("assign", 1, rf"({_KEYS})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
     Rule("access", 1, r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", 1, r"[0-9a-f]{24,}"),
-    Rule("pem", 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", base=False),
+    Rule("pem", 2, _PEM, base=False),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", base=False),
 )
 _SPANS = "array<struct<start:int,kind:int,end:int,cut:int>>"

@@ -283,3 +283,19 @@ def test_redaction(spark, rows):
 
     assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter((k, cut(t)) for k, t in all_rows)
     assert out.where(F.col("text").contains("hunter2")).count() == 0
+
+
+def test_private_keys_are_cut_with_their_bodies(spark):
+    body = "\n".join("MIIE+/" + f"{k:02d}" * 29 for k in range(20)) + "\nAb3/x=="
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    encrypted = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011AABB\n\n"
+    texts = [f"see {head}\n{x}\n{end} after it" for x in (body, encrypted + body, body.replace("\n", " "), body.replace("\n", "\\n"))]
+    rows = [*enumerate(texts), (9, f"see {head}\n{body}\n\n... after it"), (10, f"see {head} after it")]
+    got = {r.doc_id: r.text for r in secret_scan.redact(docs(spark, rows)).collect()}
+    assert got == {k: "see [SECRET] after it" for k in range(4)} | {9: "see [SECRET]\n\n... after it", 10: "see [SECRET] after it"}
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = Counter((k, *brute_secrets(t)) for k, t in rows)
+    assert Counter(c.execute(secret_scan.oracle()).fetchall()) == want
+    assert Counter(map(tuple, secret_scan.report(docs(spark, rows)).collect())) == want
