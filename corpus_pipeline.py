@@ -38,7 +38,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each text's token ids, and their digests."""
     bound_batches(spark)
-    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.encode_with_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def _measured(docs: DataFrame) -> DataFrame:

@@ -130,6 +130,23 @@ def encode(docs: DataFrame, ranks_path: str, text_column: str = "text", ids_colu
     return docs.mapInArrow(run, f"{kinds}, `{ids_column}` array<int>")
 
 
+def encode_with_digests(docs: DataFrame, ranks_path: str) -> DataFrame:
+    """doc_id, token_ids, n_tokens, ids_sha256, decoded_sha256 of every row; the last three are those of token_ids."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(ranks_path)
+        for batch in batches:
+            all_ids = [np.array(x.values, np.uint32) for x in batch.column(1)]
+            ids_sha = [hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest() for ids in all_ids]
+            out_sha = [hashlib.sha256(c.decode(ids)).hexdigest() for ids in all_ids]
+            n = pa.array([len(ids) for ids in all_ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, n, pa.array(ids_sha, pa.string()), pa.array(out_sha, pa.string())], ["doc_id", "token_ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    encoded = encode(docs.select("doc_id", "text"), ranks_path).select("doc_id", "token_ids")
+    return encoded.mapInArrow(run, f"doc_id {kind}, token_ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def decode(encoded: DataFrame, ranks_path: str, ids_column: str = "token_ids", text_column: str = "text") -> DataFrame:
     """``encoded`` with the text its ids stand for; bytes that are no UTF-8 become U+FFFD, null ids null."""
     encoded = encoded.drop(text_column)

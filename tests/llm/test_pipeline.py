@@ -1,5 +1,7 @@
 import hashlib
 
+import numpy as np
+
 import corpus_pipeline
 from pathwise.llm import secret_scan
 from tests.llm.test_corpus_ops import brute_join, brute_secrets
@@ -55,3 +57,19 @@ def test_stages_keep_extra_columns_with_clashing_names(spark, sf_dir):
     for out in (quality.keep(frame), near_dup.keep_one(frame), decontaminate.remove(frame, bench), secret_scan.redact(frame)):
         assert out.columns == frame.columns
         assert all(r[c] == c for r in out.collect() for c in extra)
+
+
+def test_last_stage_returns_the_ids_of_its_digests(spark, sf_dir):
+    import public_tokenizers
+
+    from pathwise.llm import bpe
+
+    frame, ranks = docs(spark, edge_rows()), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    out = corpus_pipeline.byte_bpe(spark, frame, sf_dir)
+    c = bpe.codec(ranks)
+    texts = sorted((r.text or "") for r in frame.collect())
+    rows = out.collect()
+    assert sorted(c.decode(np.array(r.token_ids, np.uint32)).decode() for r in rows) == texts
+    assert all(r.n_tokens == len(r.token_ids) for r in rows)
+    key = lambda r: (str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256)
+    assert sorted(map(key, rows)) == sorted(map(key, bpe.digests(frame, ranks).collect()))
