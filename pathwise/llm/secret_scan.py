@@ -115,7 +115,8 @@ def extend(texts: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] =
 def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """blob and the spans of the current rules, for blobs that have any; older scans of a blob are merged."""
     current = F.array(*(F.lit(_stamp(r)) for r in rules))
-    rows = ledger.where(F.size("spans") > 0).where(F.arrays_overlap("scanned", current))
+    valid = F.filter("spans", lambda s: F.array_contains("scanned", F.get(current, s["kind"])))  # not those of other versions
+    rows = ledger.withColumn("spans", valid).where(F.size("spans") > 0)
     return rows.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
 
 
@@ -124,9 +125,9 @@ def _joined(spans: Column, rules: tuple[Rule, ...]) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, the count of each base kind, base_sha256 and spans of every row."""
-    found = scan(docs.select("text"), None, rules).where(F.size("spans") > 0)
+def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
+    """doc_id, the count of each base kind, base_sha256 and spans of every row; what ``ledger`` has is not scanned again."""
+    found = findings(extend(docs.select("text"), ledger, rules), rules)
     kinds = F.transform("spans", lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{r.name}") for k, r in enumerate(rules) if r.base]
     based = F.array(*(F.lit(r.base) for r in rules))

@@ -299,3 +299,16 @@ def test_private_keys_are_cut_with_their_bodies(spark):
     want = Counter((k, *brute_secrets(t)) for k, t in rows)
     assert Counter(c.execute(secret_scan.oracle()).fetchall()) == want
     assert Counter(map(tuple, secret_scan.report(docs(spark, rows)).collect())) == want
+
+
+def test_report_reads_an_earlier_ledger(spark):
+    frame = docs(spark, SECRETS)
+    ledger = secret_scan.extend(docs(spark, SECRETS[:3]), None).checkpoint()
+    want = Counter((k, *brute_secrets(t)) for k, t in SECRETS)
+    assert Counter(map(tuple, secret_scan.report(frame, ledger=ledger).collect())) == want
+    emptied = ledger.withColumn("spans", F.slice("spans", 1, 0))  # findings come from the ledger, not from a new scan
+    got = {r.doc_id: r.spans for r in secret_scan.report(docs(spark, SECRETS[1:4]), ledger=emptied).collect()}
+    assert got == {2: "", 3: "", 4: brute_secrets(SECRETS[3][1])[-1]}
+    older = (*secret_scan.RULES[:3], secret_scan.Rule("pem", 1, "-----BEGIN", base=False), secret_scan.RULES[4])
+    ledger = secret_scan.extend(frame, None, older).checkpoint()
+    assert Counter(map(tuple, secret_scan.report(frame, ledger=ledger).collect())) == want
