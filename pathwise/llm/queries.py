@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pathwise.llm import bpe, decontaminate, license_scan, near_dup, pst, quality, secret_scan, sharding, toxicity, url_filter
-from pathwise.llm.runtime import bound_batches
+from pathwise.llm.runtime import bound_batches, materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,12 +58,28 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+#: An earlier state of the rules, in another order: a rule of a former version, one since removed, one not there yet.
+FORMER_RULES = (
+    secret_scan.Rule("hex", 0, "[0-9a-f]{8,}"),
+    *(r for r in secret_scan.RULES if r.name not in ("hex", "jwt")),
+    secret_scan.Rule("removed", 1, "[A-Z]{6,}", base=False),
+)
+
+
+def secret_ledger_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rounds of the secret scan's ledger: all blobs with the former rules, then what the current ones lack."""
+    docs = table(spark, sf_dir, "documents")
+    ledger = materialise(secret_scan.extend(docs.select("text"), None, FORMER_RULES))
+    return secret_scan.report(docs, ledger=ledger)
+
+
 ORACLES: dict[str, str] = {
     "op1_decontamination": decontaminate.ORACLE,
     "op2_sharding": sharding.ORACLE,
     "op4_url_filter": url_filter.ORACLE,
     "op9_quality_rules": quality.oracle(),
     "op10_secret_scan": secret_scan.oracle(),
+    "secret_ledger_rounds": secret_scan.oracle(),
 }
 
 QUERIES: dict[str, Query] = {
@@ -77,4 +93,5 @@ QUERIES: dict[str, Query] = {
     "op8_license_scan": op8_license_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scan": op10_secret_scan,
+    "secret_ledger_rounds": secret_ledger_rounds,
 }

@@ -1,23 +1,31 @@
 """Secret scans over an incremental blob ledger, in DataFrame expressions only.
 
 Every version of a text is addressed by its SHA-256. The ledger has a row for each scan of a blob: the
-blob, the rules it was scanned with, as "name@version", and the spans found. A scan takes the distinct
-blobs, leaves out the blob and rule-version pairs the ledger has, scans each other blob once, and joins
-the findings back to every path that holds the blob. While a text is addressed, one pattern of all rules
-screens it where it stands; only texts it lets through are shuffled with their blob and scanned for
-spans, all others enter the ledger as scanned without a finding.
+blob, the rules it was scanned with, as "name@version", and the spans found, each with the name and version
+of its rule. A scan asks the ledger for the distinct hashes first; patterns are run only on texts of blobs,
+and with rules, that it lacks. Findings of the current rules, whatever their places in the list, are read
+from the ledger and joined back to every path that holds the blob; those of removed rules and of former
+versions stay in the ledger and are not reported.
+
+Where a text stands, one pattern of the wanted rules screens it; only texts it lets through are shuffled
+with their blob and scanned for spans, all others enter the ledger as scanned without a finding. Up to
+``ASKED`` unseen blobs are broadcast to the texts, more are joined by a shuffle of the texts.
 
 Matches have no offsets in SQL, so they are rebuilt: the pieces between matches come from splitting by
 the same pattern, and a running sum over pieces and matches gives each start. Copies of a hot text are
-merged before the shuffle; in the join back only rows of an id and a hash meet, and Spark splits a hot
-blob there.
+merged before the shuffle; the join back has materialised findings at one side, so Spark can split the
+paths of a hot blob.
 
 Defined results: a null text is the empty text, with no finding; rows may repeat and each gets its
-findings; two kinds may overlap; an empty table gives no rows.
+findings; two kinds may overlap; a ledger may hold a scan twice; an empty table gives no rows. A text of n
+characters with m matches takes n plus some 100 * m bytes in one task; a longer one than 2 GB is no
+string of Spark's.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,7 +64,9 @@ RULES = (
     Rule("pem", 2, _PEM, base=False),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", base=False),
 )
-_SPANS = "array<struct<start:int,kind:int,end:int,cut:int>>"
+_SPANS = "array<struct<start:int,end:int,rule:string,version:int>>"
+#: Unseen blobs whose hashes and wanted rules are broadcast, at 100 bytes or so each.
+ASKED = 200_000
 
 
 def blob_of(text: Column) -> Column:
@@ -67,8 +77,13 @@ def _stamp(rule: Rule) -> str:
     return f"{rule.name}@{rule.version}"
 
 
+def _stamps(rules: tuple[Rule, ...]) -> Column:
+    return F.array(*(F.lit(_stamp(r)) for r in rules)).cast("array<string>")
+
+
 def _any(rules: tuple[Rule, ...]) -> Column:
-    return F.coalesce(F.col("text").rlike("|".join(f"(?:{r.pattern})" for r in rules)), F.lit(False))
+    """Whether any rule matches in the text."""
+    return F.coalesce(F.col("text").rlike("|".join(f"(?:{r.pattern})" for r in rules)), F.lit(False)) if rules else F.lit(False)
 
 
 def _found(kind: int, rule: Rule, wanted: Column) -> Column:
@@ -82,28 +97,36 @@ def _found(kind: int, rule: Rule, wanted: Column) -> Column:
     return F.when(wanted & F.col("text").rlike(rule.pattern), rows).otherwise(F.array().cast("array<struct<kind:int,pos:int,gap:int,len:int,ok:boolean>>"))
 
 
-def scan(texts: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """New ledger rows (blob, scanned, spans) for what ``texts`` has and ``ledger`` lacks.
+def pending(texts: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, pending): the distinct blobs of ``texts`` and the rule versions the ledger has not seen them with; by hash alone."""
+    blobs = texts.select(blob_of(F.col("text")).alias("blob")).distinct()
+    seen = ledger.select("blob", F.explode("scanned").alias("stamp")).groupBy("blob").agg(F.collect_set("stamp").alias("seen"))
+    lacks = F.array_except(_stamps(rules), F.coalesce("seen", F.array().cast("array<string>")))
+    return blobs.join(seen, "blob", "left").select("blob", lacks.alias("pending")).where(F.size("pending") > 0)
 
-    spans are sorted by start, then kind; ``cut`` is the end of the text covered before a span.
-    """
-    stamps = F.array(*(F.lit(_stamp(r)) for r in rules))
-    screened = F.when(_any(rules), F.col("text"))
-    blobs = texts.select(blob_of(F.col("text")).alias("blob"), screened.alias("text")).groupBy("blob").agg(F.any_value("text").alias("text"))
+
+def scan(texts: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """New ledger rows (blob, scanned, spans) for what ``texts`` has and ``ledger`` lacks. spans are in order of start, then rule."""
+    todo = texts.select(blob_of(F.col("text")).alias("blob"), "text")
     if ledger is None:
-        blobs = blobs.withColumn("pending", stamps)
+        todo, wanted = todo.withColumn("pending", _stamps(rules)), _any(rules)
     else:
-        seen = ledger.select("blob", F.explode("scanned").alias("stamp")).groupBy("blob").agg(F.collect_set("stamp").alias("seen"))
-        blobs = blobs.join(seen, "blob", "left").withColumn("pending", F.array_except(stamps, F.coalesce("seen", F.array().cast("array<string>")))).where(F.size("pending") > 0)
-    matches = F.concat(*(_found(k, r, F.array_contains("pending", _stamp(r))) for k, r in enumerate(rules)))
+        asked = materialise(pending(texts, ledger, rules))
+        few = asked.limit(ASKED + 1).count() <= ASKED
+        todo = todo.join(F.broadcast(asked) if few else asked, "blob")
+        each = [F.array_contains("pending", _stamp(r)) & _any((r,)) for r in rules]
+        wanted = F.when(F.size("pending") == len(rules), _any(rules)).otherwise(reduce(or_, each, F.lit(False)))
+    blobs = todo.select("blob", "pending", F.when(wanted, F.col("text")).alias("text")).groupBy("blob", "pending").agg(F.any_value("text").alias("text"))
+    nothing = F.array().cast("array<struct<kind:int,pos:int,gap:int,len:int,ok:boolean>>")
+    matches = F.concat(nothing, *(_found(k, r, F.array_contains("pending", _stamp(r))) for k, r in enumerate(rules)))
     each = blobs.select("blob", "pending", F.explode_outer(F.filter(matches, lambda m: m["len"].isNotNull())).alias("m")).select("blob", "pending", "m.*")
-    # The blob's partitioning holds for both windows and the aggregate: no further shuffle.
-    end = F.sum(F.col("gap") + F.col("len")).over(Window.partitionBy("blob", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
-    each = each.select("blob", "pending", "kind", "ok", (end - F.col("len")).alias("start"), end.alias("end"))
-    before = Window.partitionBy("blob").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    each = each.withColumn("cut", F.coalesce(F.max(F.when(F.col("ok"), F.col("end"))).over(before), F.lit(0)))
-    span = F.when(F.col("ok"), F.struct("start", "kind", "end", "cut"))
-    return each.groupBy("blob", "pending").agg(F.sort_array(F.collect_list(span)).alias("spans")).select("blob", F.col("pending").alias("scanned"), F.col("spans").cast(_SPANS).alias("spans"))
+    # The blob's partitioning holds for the window and the aggregate: no further shuffle.
+    end = F.sum(F.col("gap") + F.col("len")).over(Window.partitionBy("blob", "pending", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    span = F.when(F.col("ok"), F.struct((end - F.col("len")).alias("start"), "kind", end.alias("end")))
+    found = each.select("blob", "pending", span.alias("span")).groupBy("blob", "pending").agg(F.sort_array(F.collect_list("span")).alias("spans"))
+    names, versions = F.array(*(F.lit(r.name) for r in rules)), F.array(*(F.lit(r.version) for r in rules))
+    named = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(names, s["kind"]).alias("rule"), F.get(versions, s["kind"]).alias("version")))
+    return found.select("blob", F.col("pending").alias("scanned"), named.cast(_SPANS).alias("spans"))
 
 
 def extend(texts: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -113,10 +136,10 @@ def extend(texts: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] =
 
 
 def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """blob and the spans of the current rules, for blobs that have any; older scans of a blob are merged."""
-    current = F.array(*(F.lit(_stamp(r)) for r in rules))
-    valid = F.filter("spans", lambda s: F.array_contains("scanned", F.get(current, s["kind"])))  # not those of other versions
-    rows = ledger.withColumn("spans", valid).where(F.size("spans") > 0)
+    """blob and the spans (start, kind, end) of ``rules`` in these versions, for blobs that have any; kind is the place in ``rules``."""
+    kind = lambda s: (F.array_position(_stamps(rules), F.concat_ws("@", s["rule"], s["version"])) - 1).cast("int")
+    spans = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), kind(s).alias("kind"), s["end"].alias("end")))
+    rows = ledger.select("blob", F.filter(spans, lambda s: s["kind"] >= 0).alias("spans")).where(F.size("spans") > 0)
     return rows.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
 
 
@@ -132,21 +155,27 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame |
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{r.name}") for k, r in enumerate(rules) if r.base]
     based = F.array(*(F.lit(r.base) for r in rules))
     base = _joined(F.filter("spans", lambda s: F.get(based, s["kind"])), rules)
-    found = found.select("blob", *counts, F.sha2(base, 256).alias("base_sha256"), _joined(F.col("spans"), rules).alias("spans"))
+    found = materialise(found.select("blob", *counts, F.sha2(base, 256).alias("base_sha256"), _joined(F.col("spans"), rules).alias("spans")))
     paths = docs.select("doc_id", blob_of(F.col("text")).alias("blob"))
     zero = [F.coalesce(f"n_{r.name}", F.lit(0).cast("long")).alias(f"n_{r.name}") for r in rules if r.base]
     return paths.join(found, "blob", "left").select("doc_id", *zero, F.coalesce("base_sha256", F.sha2(F.lit(""), 256)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = MARK) -> DataFrame:
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = MARK, ledger: DataFrame | None = None) -> DataFrame:
     """``docs``, same columns, with every found span replaced by ``mark``; overlapping spans give one.
 
-    Only texts in which a pattern occurs are shuffled; the others pass as they are.
+    Without a ledger only texts in which a pattern occurs are shuffled and the others pass as they are;
+    with one its findings decide, and no pattern is run on a blob that it has seen with all rules.
     """
     docs, back = neutral(docs, ("text",))
     columns = docs.columns
-    suspects = docs.where(_any(rules))
-    found = materialise(scan(suspects.select("text"), None, rules).where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")))
+    suspects = docs.where(_any(rules)) if ledger is None else docs
+    found = findings(extend(suspects.select("text"), ledger, rules), rules)
+    # The end of the text covered before a span, so that pieces between spans are cut in one pass.
+    each = found.select(F.col("blob").alias("_blob"), F.explode("spans").alias("s")).select("_blob", "s.*")
+    before = Window.partitionBy("_blob").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("cut", F.coalesce(F.max("end").over(before), F.lit(0)))
+    found = materialise(each.groupBy("_blob").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "cut"))).alias("_spans")))
     hit = suspects.withColumn("_blob", blob_of(F.col("text"))).join(found, "_blob", "left")
     one = F.lit(1)
     pieces = F.transform(
@@ -159,7 +188,8 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = MARK) -
     tail = F.array_max(F.transform("_spans", lambda s: s["end"]))
     cut = F.concat(F.array_join(pieces, ""), F.col("text").substr(tail + one, F.length("text")))
     kept = [F.coalesce(cut, F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in columns]
-    return docs.where(~_any(rules)).unionByName(hit.select(*kept)).select(*back)
+    hit = hit.select(*kept)
+    return (docs.where(~_any(rules)).unionByName(hit) if ledger is None else hit).select(*back)
 
 
 def oracle(rules: tuple[Rule, ...] = RULES) -> str:
