@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PALETTE_SIZE = 17
+#: An alphabet lives on the driver and in plans; a column of more distinct values is refused.
+MAX_STATES = 100_000
 _UNITS = {"s": "SECOND", "m": "MINUTE", "h": "HOUR", "d": "DAY", "w": "WEEK", "mo": "MONTH", "q": "QUARTER", "y": "YEAR"}
 _SECONDS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
 
@@ -44,15 +46,18 @@ def _palette(n: int) -> list[str]:
 
 @dataclass(frozen=True)
 class Alphabet:
-    """Sorted distinct states with a colour each. Small by nature: it lives on the driver."""
+    """Sorted distinct states with a colour each, given in their order or by name. Small by nature: it lives on the driver."""
 
     states: tuple[str, ...]
-    colors: tuple[str, ...] | None = None
+    colors: tuple[str, ...] | Mapping[str, str] | None = None
     _place: dict = field(init=False, repr=False, compare=False, hash=False, default_factory=dict)
 
     def __post_init__(self) -> None:
         states = tuple(sorted(set(self.states)))
-        colors = tuple(_palette(len(states)) if self.colors is None else self.colors)
+        colors, palette = self.colors, _palette(len(states))
+        if isinstance(colors, Mapping):  # states that it lacks keep the palette's colour
+            colors = [colors.get(s, c) for s, c in zip(states, palette, strict=True)]
+        colors = tuple(palette if colors is None else colors)
         if len(colors) < len(states):
             raise ValueError(f"{len(states)} states need as many colors, not {len(colors)}")
         object.__setattr__(self, "states", states)
@@ -76,7 +81,17 @@ class Alphabet:
     def get_color(self, state: str) -> str:
         return self.colors[self._place[state]]
 
-    def with_colors(self, colors: Sequence[str]) -> Alphabet:
+    def __getitem__(self, place: int) -> str:
+        return self.states[place]
+
+    @property
+    def n_states(self) -> int:
+        return len(self.states)
+
+    def with_colors(self, colors: Sequence[str] | Mapping[str, str]) -> Alphabet:
+        """New colours: one for each state, or those of some states by name."""
+        if isinstance(colors, Mapping):
+            colors = [colors.get(s, c) for s, c in zip(self.states, self.colors, strict=False)]
         return Alphabet(self.states, tuple(colors))
 
     def encode(self, states: Iterable[str]) -> list[int]:
@@ -91,7 +106,11 @@ class Alphabet:
 
     @classmethod
     def from_column(cls, df: DataFrame, column: str) -> Alphabet:
-        return cls(tuple(r[0] for r in df.select(F.col(column).cast("string")).where(F.col(column).isNotNull()).distinct().collect()))
+        """The distinct values of a column, at most MAX_STATES."""
+        rows = df.select(F.col(f"`{column}`").cast("string").alias("s")).where("s is not null").distinct().limit(MAX_STATES + 1).collect()
+        if len(rows) > MAX_STATES:
+            raise ValueError(f"{column} has more than {MAX_STATES} values; it does not look like a state")
+        return cls(tuple(r.s for r in rows))
 
     def code(self, state: Column) -> Column:
         """The int code of a state; null for a state that is not here."""
@@ -174,6 +193,11 @@ class _Container:
         """``df`` with the id column under its configured name."""
         return df.withColumnRenamed("id", self.config.id_column)
 
+    @classmethod
+    def coerce(cls, data: _Container | DataFrame, config: SequenceConfig | None = None):
+        """``data`` itself if it is of this kind, else the same rows in it."""
+        return coerce(data, cls, config)
+
     def _like(self, df: DataFrame, alphabet: Alphabet | None = None):
         return type(self)(df, self.config, alphabet)
 
@@ -185,7 +209,8 @@ class SequencePool(_Container):
         return self.n_sequences()
 
     def __iter__(self) -> Iterator:
-        return iter(self.sequence_ids)
+        """The ids in order, fetched a partition at a time."""
+        return (r.id for r in self.base.select("id").distinct().orderBy("id").toLocalIterator())
 
     def __getitem__(self, key: Any) -> list[str | None]:
         return self.get_sequence(key)
@@ -226,8 +251,7 @@ class SequencePool(_Container):
 
     def sample(self, n: int, seed: int | None = None) -> SequencePool:
         """min(n, all) whole sequences drawn without replacement; the same seed draws the same ids."""
-        order = F.xxhash64("id", F.lit(seed)) if seed is not None else F.rand()
-        ids = self.base.select("id").distinct().orderBy(order, "id").limit(n)
+        ids = drawn_ids(self.base.select("id").distinct(), n, seed)
         key = self.config.id_column
         return self._like(self.data.join(ids.withColumnRenamed("id", key), key, "left_semi"), self._alphabet)
 
@@ -322,6 +346,12 @@ class StateSequence(_Container):
         return sample_intervals(df, **options)
 
 
+def drawn_ids(ids: DataFrame, n: int, seed: int | None = None) -> DataFrame:
+    """n rows of ``ids`` (id, distinct): those of the least MD5 of seed and id, or random ones without a seed."""
+    order = F.rand() if seed is None else F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
+    return ids.orderBy(order, "id").limit(n)
+
+
 def uncovered(df: DataFrame, config: SequenceConfig, alphabet: Alphabet) -> DataFrame:
     s = F.col(f"`{config.state_column}`").cast("string")
     return df.where(s.isNotNull() & ~s.isin(*alphabet.states)).select(s.alias("state")).distinct()

@@ -7,6 +7,7 @@ medoids only. Quality and representatives also have forms over the long table of
 
 from __future__ import annotations
 
+import hashlib
 import warnings
 from dataclasses import dataclass, field
 
@@ -14,6 +15,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathwise.functions.model import drawn_ids
+from pathwise.functions.runtime import materialise
 from pathwise.operators.distances import DistanceMatrix
 
 
@@ -159,6 +162,20 @@ class PAMClustering:
         return x[:, r.medoid_indices].argmin(1)
 
 
+class Draws:
+    """Random orders of 0..n-1 by the MD5 of seed, number of the draw and place, so that they can be drawn anywhere again."""
+
+    def __init__(self, seed=None) -> None:
+        if isinstance(seed, np.random.Generator):
+            seed = seed.integers(1 << 62)
+        self.seed, self.drawn = int(np.random.default_rng().integers(1 << 62)) if seed is None else int(seed), 0
+
+    def order(self, n: int) -> np.ndarray:
+        keys = [hashlib.md5(f"{self.seed}:{self.drawn}:{i}".encode()).digest() for i in range(n)]
+        self.drawn += 1
+        return np.array(sorted(range(n), key=keys.__getitem__), int)
+
+
 def clara_clustering(distance_matrix, n_clusters: int, n_samples: int = 5, sample_size: int | None = None, max_iter: int = 100, random_state: int | None = None, sequence_ids=None) -> CLARAClusteringResult:
     """PAM on samples; the medoids that suit all sequences best are kept."""
     dm = DistanceMatrix.coerce(distance_matrix)
@@ -167,9 +184,9 @@ def clara_clustering(distance_matrix, n_clusters: int, n_samples: int = 5, sampl
     if n_clusters > len(d):
         raise ValueError(f"{n_clusters} clusters of {len(d)} sequences")
     size = min(sample_size or 40 + 2 * n_clusters, len(d))
-    rng, best, costs = np.random.default_rng(random_state), None, []
+    draws, best, costs = Draws(random_state), None, []
     for _ in range(n_samples):
-        s = np.sort(rng.choice(len(d), size, replace=False))
+        s = np.sort(draws.order(len(d))[:size])
         r = pam_clustering(d[np.ix_(s, s)], min(n_clusters, size), max_iter)
         medoids = s[r.medoid_indices]
         cost = float(d[:, medoids].min(1).sum())
@@ -183,21 +200,27 @@ def clara_clustering(distance_matrix, n_clusters: int, n_samples: int = 5, sampl
 def clara_pool(pool, n_clusters: int, method: str = "om", n_samples: int = 5, sample_size: int | None = None, seed: int = 0, **options) -> tuple[DataFrame, list]:
     """CLARA without the full matrix: (id, cluster, distance) of every sequence, and the medoid ids.
 
-    Only samples of a fixed size reach the driver. All sequences meet the medoids, a broadcast of
-    n_samples * n_clusters sequences, in one scan of the pool.
+    Only samples of a fixed size reach the driver, drawn by the MD5 of seed and id and read in one scan. All
+    sequences meet the medoids, a broadcast of n_samples * n_clusters sequences, in another. Sequences
+    without an id are left out; a null state is one more state.
     """
+    from pathwise.operators.distances import coded
     from pathwise.operators.kernels import KERNELS, Batch
 
-    kernel, k = KERNELS[method], len(pool.alphabet)
+    kernel, (seqs, k, *_) = KERNELS[method], coded(pool)
     size = sample_size or 40 + 2 * n_clusters
+    ids = materialise(seqs.select("id"))
+    chosen = [[r.id for r in drawn_ids(ids, size, seed + s).collect()] for s in range(n_samples)]
+    wanted = pool.spark.createDataFrame([(x,) for x in sorted({x for c in chosen for x in c})], ids.schema)
+    codes_of = {r.id: np.array(r.codes, np.int64) for r in seqs.join(F.broadcast(wanted), "id").select("id", "codes").collect()}
     medoids: list[tuple[int, int, object, np.ndarray]] = []
     for s in range(n_samples):
-        drawn = pool.sample(size, seed + s).sequences.select("id", "codes").orderBy("id").collect()
-        codes = [np.array(r.codes, np.int64) for r in drawn]
+        drawn = sorted(chosen[s])
+        codes = [codes_of[x] for x in drawn]
         i, j = np.triu_indices(len(codes), 1)
         values = kernel(Batch([codes[x] for x in i], [codes[y] for y in j]), k, **options) if len(i) else np.zeros(0)
         r = pam_clustering(DistanceMatrix.from_condensed(values) if len(codes) > 1 else np.zeros((len(codes),) * 2), min(n_clusters, len(codes)))
-        medoids += [(s, c, drawn[m].id, codes[m]) for c, m in enumerate(r.medoid_indices)]
+        medoids += [(s, c, drawn[m], codes[m]) for c, m in enumerate(r.medoid_indices)]
     kind = pool.base.schema["id"].dataType.simpleString()
 
     def near(batches):
@@ -212,14 +235,17 @@ def clara_pool(pool, n_clusters: int, method: str = "om", n_samples: int = 5, sa
                 out.append((d.argmin(0), d.min(0)))
             yield pa.RecordBatch.from_arrays([ids, pa.array([list(map(int, x)) for x in zip(*(o[0] for o in out))], pa.list_(pa.int32())), pa.array([list(map(float, x)) for x in zip(*(o[1] for o in out))], pa.list_(pa.float64()))], ["id", "c", "d"])
 
-    scored = pool.sequences.select("id", "codes").mapInArrow(near, f"id {kind}, c array<int>, d array<double>")
+    scored = materialise(seqs.select("id", "codes").mapInArrow(near, f"id {kind}, c array<int>, d array<double>"))
     costs = scored.agg(*(F.sum(F.col("d")[s]).alias(f"s{s}") for s in range(n_samples))).first()
     best = min(range(n_samples), key=lambda s: costs[s])
     return scored.select("id", F.col("c")[best].alias("cluster"), F.col("d")[best].alias("distance")), [m[2] for m in medoids if m[0] == best]
 
 
 def _linkage(d: np.ndarray, method: str) -> np.ndarray:
-    """Merges (a, b, height, size) in order of height, by Lance-Williams updates."""
+    """Merges (a, b, height, size) in order of height, by Lance-Williams updates.
+
+    A cluster stands at the place of its least member; of equal heights the least places merge first.
+    """
     n = len(d)
     d = d.astype(float).copy()
     np.fill_diagonal(d, np.inf)
@@ -242,7 +268,7 @@ def _linkage(d: np.ndarray, method: str) -> np.ndarray:
         else:
             total = size[i] + size[j] + size
             with np.errstate(invalid="ignore"):
-                new = np.sqrt(np.maximum(0.0, ((size[i] + size) * x**2 + (size[j] + size) * y**2 - size * h**2) / total))
+                new = np.sqrt(np.maximum(0.0, ((size[i] + size) * (x * x) + (size[j] + size) * (y * y) - size * (h * h)) / total))
         new = np.where(alive, new, np.inf)
         new[[i, j]] = np.inf
         alive[j] = False
@@ -252,7 +278,8 @@ def _linkage(d: np.ndarray, method: str) -> np.ndarray:
         name[i] = n + step
         stale = np.flatnonzero(alive & ((near == i) | (near == j) | (np.arange(n) == i)))
         near[stale] = d[stale].argmin(1)
-        closer = alive & (d[:, i] < d[np.arange(n), near])
+        now = d[np.arange(n), near]
+        closer = alive & ((d[:, i] < now) | ((d[:, i] == now) & (i < near)))
         near[closer] = i
     return np.array(out, float).reshape(-1, 4)
 
@@ -425,8 +452,9 @@ def extract_representatives(distance_matrix, n_representatives: int = 4, strateg
 
 def both_ways(pairs: DataFrame) -> DataFrame:
     """(i, j, d) for both orders of each pair."""
-    a = pairs.select(F.col("id_a").alias("i"), F.col("id_b").alias("j"), F.col("distance").alias("d"))
-    return a.unionByName(a.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
+    a, b = F.col("id_a"), F.col("id_b")
+    ends = F.array(F.struct(a.alias("i"), b.alias("j")), F.struct(b.alias("i"), a.alias("j")))
+    return pairs.select(F.explode(ends).alias("e"), F.col("distance").alias("d")).select("e.i", "e.j", "d")
 
 
 def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -453,7 +481,8 @@ def distance_to_center_frame(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def cluster_quality_frame(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row: asw, pbc, hg, r2."""
+    """One row: asw, pbc, hg, r2. The pairs are read from one materialised table."""
+    pairs = materialise(pairs)
     la, lb = (labels.select(F.col("id").alias(f"id_{x}"), F.col("cluster").alias(f"c{x}")) for x in "ab")
     met = pairs.join(la, "id_a").join(lb, "id_b").withColumn("same", (F.col("ca") == F.col("cb")).cast("double"))
     size = labels.groupBy("cluster").agg(F.count("*").alias("n"))

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathwise.operators.clustering import _matrix, _sums_of_squares
+from pathwise.operators.clustering import Draws, _matrix, _sums_of_squares
 
 
 @dataclass
@@ -48,16 +48,17 @@ def discrepancy_analysis(distance_matrix, labels, n_permutations: int = 0, rando
         warnings.warn("no discrepancy within groups: pseudo-F is infinite", stacklevel=2)
     p = None
     if n_permutations:
-        rng = random_state if isinstance(random_state, np.random.Generator) else np.random.default_rng(random_state)
-        hits = sum(_pseudo_f(total, _sums_of_squares(d, rng.permutation(labels))[1], n, k) >= f for _ in range(n_permutations))
+        draws = random_state if isinstance(random_state, Draws) else Draws(random_state)
+        least = f * (1 - 1e-9)  # a permutation that gives the same groups counts, whatever the order of its sums
+        hits = sum(_pseudo_f(total, _sums_of_squares(d, labels[draws.order(n)])[1], n, k) >= least for _ in range(n_permutations))
         p = (hits + 1) / (n_permutations + 1)
     return DiscrepancyResult((total - within) / total if total > 0 else 0.0, f, p, total, within, total - within, k, n_permutations)
 
 
 def multi_factor_discrepancy(distance_matrix, factors: dict, n_permutations: int = 0, random_state: int | None = None) -> dict[str, DiscrepancyResult]:
-    """Each factor by itself; the permutations share one generator."""
-    rng = np.random.default_rng(random_state)
-    return {k: discrepancy_analysis(distance_matrix, v, n_permutations, rng) for k, v in factors.items()}
+    """Each factor by itself; the permutations of one seed go on from factor to factor."""
+    draws = Draws(random_state)
+    return {k: discrepancy_analysis(distance_matrix, v, n_permutations, draws) for k, v in factors.items()}
 
 
 def discrepancy_frame(pairs: DataFrame, labels: DataFrame) -> DataFrame:

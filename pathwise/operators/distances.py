@@ -2,7 +2,13 @@
 
 Sequences are dealt to blocks and a tile is a pair of blocks; a row goes to the tiles of its block and
 meets there, by an equi-join or in a batched kernel, just the rows it must be compared with. No task
-holds more than two blocks, and no pair crosses the network.
+holds more than two blocks, and no pair crosses the network. The cost of a tile is in its pairs, not its
+bytes, so tiles are dealt to a stated number of tasks that Spark does not coalesce, and small pools
+have smaller blocks, so that there are tiles for all cores.
+
+Nulls: a sequence without an id is left out, as no row could name it. A null state is one more state of the
+pool, equal to itself and unlike all others, in every method; a given cost matrix needs a last row and
+column for it.
 """
 
 from __future__ import annotations
@@ -18,29 +24,45 @@ from pyspark.sql import functions as F
 
 from pathwise.operators.kernels import KERNELS, Batch
 
-BLOCK = 128
+#: Sequences of a block, at most and (where more tiles are wanted) at least.
+BLOCK, LEAST_BLOCK = 128, 8
+#: Tiles for each core that small pools are cut into, and tiles of a task beyond MAX_TASKS.
+TILES_A_CORE, MAX_TASKS, TILES_A_TASK = 8, 4096, 16
 BATCH_CELLS = 1 << 22
+#: Sequences of a dense matrix, which takes 8 bytes for each pair of them on the driver.
+MAX_DENSE = 8192
 COLUMNS = ("id_a", "id_b", "distance")
+#: Characters that stand for states in an edit distance: from "!" to the surrogates.
+_LETTERS = (0x21, 0xD800)
+
+
+def grid(n: int, cores: int) -> tuple[int, int]:
+    """Blocks of a side for n sequences, and tasks to deal the tiles to."""
+    wanted = math.ceil(math.sqrt(2 * TILES_A_CORE * cores))
+    g = max(1, math.ceil(n / BLOCK), min(wanted, math.ceil(n / LEAST_BLOCK)))
+    tiles = g * (g + 1) // 2
+    return g, min(tiles, max(MAX_TASKS, tiles // TILES_A_TASK))
 
 
-def tiled(rows: DataFrame, n: int, block: int = BLOCK) -> DataFrame:
-    """``rows`` (id, ...) with block and the tile (x, y), x <= y, once for each tile of its block."""
-    g = max(1, math.ceil(n / block))
+def tiled(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` (id, ...) with block and the tile (x, y), x <= y, once for each tile of its block, dealt by tile."""
+    g, tasks = grid(n, rows.sparkSession.sparkContext.defaultParallelism)
     own = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(g)).cast("int"))
     tiles = F.transform(F.sequence(F.lit(0), F.lit(g - 1)), lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y")))
-    return own.withColumn("tile", F.explode(tiles)).select("*", F.col("tile.x").alias("x"), F.col("tile.y").alias("y")).drop("tile")
+    dealt = own.withColumn("tile", F.explode(tiles)).select("*", F.col("tile.x").alias("x"), F.col("tile.y").alias("y")).drop("tile")
+    return dealt.repartition(tasks, "x", "y")
 
 
-def native_pairs(rows: DataFrame, n: int, value: Callable[[str, str], Column], block: int = BLOCK) -> DataFrame:
+def native_pairs(rows: DataFrame, n: int, value: Callable[[str, str], Column]) -> DataFrame:
     """Pairs by an equi-join on the tile; ``value`` maps the two sides' prefixes to the distance."""
-    t = tiled(rows, n, block)
+    t = tiled(rows, n)
     a = t.select("x", "y", *(F.col(c).alias(f"a_{c}") for c in t.columns if c not in ("x", "y")))
     b = t.select("x", "y", *(F.col(c).alias(f"b_{c}") for c in t.columns if c not in ("x", "y")))
     met = a.join(b, ["x", "y"]).where("a_id < b_id and (x = y or a_block <> b_block)")
     return met.select(F.col("a_id").alias("id_a"), F.col("b_id").alias("id_b"), value("a_", "b_").cast("double").alias("distance"))
 
 
-def kernel_pairs(rows: DataFrame, n: int, kernel: Callable, n_states: int, options: dict, block: int = BLOCK) -> DataFrame:
+def kernel_pairs(rows: DataFrame, n: int, kernel: Callable, n_states: int, options: dict) -> DataFrame:
     """Pairs of (id, codes) by a batched kernel in each tile."""
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -70,7 +92,7 @@ def kernel_pairs(rows: DataFrame, n: int, kernel: Callable, n_states: int, optio
         kinds = table.schema.field("id").type
         return pa.table({"id_a": pa.array(left, kinds), "id_b": pa.array(right, kinds), "distance": pa.array(np.concatenate(out) if out else [], pa.float64())})
 
-    return tiled(rows, n, block).groupBy("x", "y").applyInArrow(run, f"id_a {kind}, id_b {kind}, distance double")
+    return tiled(rows, n).groupBy("x", "y").applyInArrow(run, f"id_a {kind}, id_b {kind}, distance double")
 
 
 # --- distances that built-in functions express -----------------------------------------------------
@@ -151,7 +173,8 @@ def _svrspell(seqs, k, n, n_states=None):
 
 def _om_unit(seqs, k, n, normalize=False):
     """Optimal matching with unit costs is the edit distance of one character for each state."""
-    letters = F.array_join(F.transform("codes", lambda c: F.char(c + 97)), "")
+    alphabet = F.lit("".join(map(chr, range(_LETTERS[0], _LETTERS[0] + k))))
+    letters = F.array_join(F.transform("codes", lambda c: F.substr(alphabet, c + 1, F.lit(1))), "")
 
     def value(a, b):
         d = F.levenshtein(F.col(f"{a}v"), F.col(f"{b}v"))
@@ -165,14 +188,22 @@ METHODS = tuple(sorted({*NATIVE, *KERNELS}))
 EQUAL_LENGTH = ("hamming", "dhd")
 
 
+def coded(pool) -> tuple[DataFrame, int, int, int, int]:
+    """Sequences (id, codes, n) with an id, the number of states with the null state if there is one, and their number, least and greatest length."""
+    seqs, k = pool.sequences.where("id is not null").select("id", "codes", "n"), len(pool.alphabet)
+    r = seqs.agg(F.count("*").alias("n"), F.min("n").alias("a"), F.max("n").alias("b"), F.max(F.exists("codes", lambda c: c.isNull())).alias("nulls")).first()
+    if r.nulls:
+        seqs, k = seqs.withColumn("codes", F.transform("codes", lambda c: F.coalesce(c, F.lit(k)))), k + 1
+    return seqs, k, r.n, r.a or 0, r.b or 0
+
+
 def position_costs(pool) -> np.ndarray:
     """(T, K, K) costs from the share of sequences in each state at each position: clamp(1 - 4 f_a f_b)."""
-    k, n = len(pool.alphabet), pool.n_sequences()
-    rows = pool.sequences.select(F.posexplode("codes").alias("pos", "code")).groupBy("pos", "code").agg(F.count("*").alias("c")).collect()
-    share = np.zeros((max((r.pos for r in rows), default=-1) + 1, k))
+    seqs, k, n, _, longest = coded(pool)
+    rows = seqs.select(F.posexplode("codes").alias("pos", "code")).groupBy("pos", "code").agg(F.count("*").alias("c")).collect()
+    share = np.zeros((longest, k))
     for r in rows:
-        if r.code is not None:
-            share[r.pos, r.code] = r.c / max(1, n)
+        share[r.pos, r.code] = r.c / max(1, n)
     a, b = share[:, :, None], share[:, None, :]
     out = np.clip(1 - a * b / 0.25, 0, 1)
     out[(a == 0) & (b == 0)] = 1.0
@@ -193,7 +224,10 @@ class DistanceMatrix:
     @property
     def labels(self) -> list | None:
         if self._labels is None and self.ids is not None:
-            self._labels = [r.id for r in self.ids.orderBy("id").collect()]
+            rows = self.ids.orderBy("id").limit(MAX_DENSE + 1).collect()
+            if len(rows) > MAX_DENSE:
+                raise ValueError(f"a dense matrix has {MAX_DENSE} sequences at most; use clara_pool or the forms over the long table")
+            self._labels = [r.id for r in rows]
         return self._labels
 
     @property
@@ -249,13 +283,12 @@ def compute(pool, method: str = "om", **options) -> DistanceMatrix:
     if method not in METHODS:
         raise ValueError(f"Unknown method: {method!r}; one of {', '.join(METHODS)}")
     options.pop("n_jobs", None)
-    seqs, k, n = pool.sequences, len(pool.alphabet), pool.n_sequences()
-    if method in EQUAL_LENGTH and n:
-        r = seqs.agg(F.min("n").alias("a"), F.max("n").alias("b")).first()
-        if r.a != r.b:
-            raise ValueError("sequences must have equal length")
+    seqs, k, n, shortest, longest = coded(pool)
+    if method in EQUAL_LENGTH and shortest != longest:
+        raise ValueError("sequences must have equal length")
     sm = options.get("sm", "constant")
-    unit = method == "om" and options.get("indel", 1) == 1 and isinstance(sm, str) and sm == "constant" and options.get("sub_cost", 2) == 1 and k <= 26
+    unit = method == "om" and options.get("indel", 1) == 1 and isinstance(sm, str) and sm == "constant" and options.get("sub_cost", 2) == 1
+    unit = unit and k <= _LETTERS[1] - _LETTERS[0]  # both ways give the same distances
     if unit:
         pairs = _om_unit(seqs, k, n, normalize=options.get("normalize", False))
     elif method in NATIVE:

@@ -184,7 +184,9 @@ def dtw(t: Batch, k: int, window=0, sm="constant", sub_cost=1.0, normalize=False
         ends = np.flatnonzero(t.la == i)
         out[ends], length[ends] = row[t.lb[ends], ends], own[t.lb[ends], ends]
         above, steps = row, own
-    return _one_empty(t, _over(out, length, normalize and not timed), np.inf)
+    if normalize and not timed:  # a corner outside the window has no path and stays infinite
+        out = np.divide(out, length, out=out, where=length > 0)
+    return _one_empty(t, out, np.inf)
 
 
 def softdtw(t: Batch, k: int, gamma=1.0, window=0, sm="constant", sub_cost=1.0, normalize=False) -> np.ndarray:

@@ -15,14 +15,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathwise.functions.model import SequenceConfig, SequencePool, StateSequence
+from pathwise.functions.model import Alphabet, SequenceConfig, SequencePool, StateSequence
 from pathwise.functions.runtime import shared_dir
 from pathwise.operators import clustering, descriptive, discrepancy, distances, filters, mining, normative, transitions
+from pathwise.plans import oracles
 from pathwise.sources import (
     generate_financial_journeys,
     generate_markov_sequences,
     generate_simple_sequences,
     load_csv,
+    load_dataframe,
     load_json,
     load_parquet,
     sample_intervals,
@@ -31,6 +33,8 @@ from pathwise.sources import (
     save_parquet,
 )
 
+from pathwise.sources.synthetic import CATEGORIES, ONBOARDING_STATES
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -160,6 +164,21 @@ def describe(spark: SparkSession, d: str) -> DataFrame:
 
 
 register("get_sequence", "SELECT event_type AS state FROM events WHERE user_id = 7")(lambda s, d: events(s, d, StateSequence).get_sequence(7).select(F.col("event_type").alias("state")))
+register("encoded_sequence", "SELECT row_number() OVER (ORDER BY ts, event_type) - 1 AS pos, (SELECT count(DISTINCT event_type) FROM events b WHERE b.event_type < a.event_type) AS code FROM events a WHERE user_id = 7")(
+    lambda s, d: s.createDataFrame(list(enumerate(events(s, d).get_encoded_sequence(7))), "pos long, code long")
+)
+register("pool_iteration", "SELECT row_number() OVER (ORDER BY user_id NULLS FIRST) - 1 AS pos, user_id FROM (SELECT DISTINCT user_id FROM events)")(lambda s, d: s.createDataFrame(list(enumerate(events(s, d))), "pos long, user_id long"))
+register("coerced_sts", "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL")(
+    lambda s, d: StateSequence.coerce(SequencePool.coerce(events(s, d, StateSequence))).to_sts().groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+)
+
+
+@register("load_dataframe", "SELECT event_type AS state, count(*) AS count FROM events WHERE event_type <> 'error' GROUP BY 1")
+def loaded(spark: SparkSession, d: str) -> DataFrame:
+    """Errors become nulls, which are dropped; the alphabet covers the rest."""
+    rows = table(spark, d, "events").withColumn("event_type", F.when(F.col("event_type") != "error", F.col("event_type")))
+    alphabet = Alphabet.from_column(rows, "event_type")
+    return load_dataframe(rows, EVENTS, alphabet, drop_nulls=True).to_state_sequence().state_counts()
 
 
 # --- filters ---------------------------------------------------------------------------------------
@@ -184,7 +203,8 @@ _kept("filter_starts_with", [filters.StartsWithCriterion(["user", "assistant"])]
 _kept("filter_query", [filters.QueryCriterion("value > 90 AND event_type = 'purchase'")], "SELECT user_id FROM events WHERE value > 90 AND event_type = 'purchase'")
 _kept("filter_and", [filters.LengthCriterion(4), filters.ContainsStateCriterion(["system"])], f"SELECT id FROM e GROUP BY id HAVING count(*) >= 4 INTERSECT {_ANY}", pool=talks)
 _kept("filter_or", [filters.LengthCriterion(exact_length=2), filters.ContainsStateCriterion(["system"])], f"SELECT id FROM e GROUP BY id HAVING count(*) = 2 UNION {_ANY}", "or", talks)
-register("sample")(lambda s, d: events(s, d).sample(10, 7).sequence_lengths())
+register("filter_by_length", "SELECT o_custkey, count(*) AS length FROM orders GROUP BY 1 HAVING count(*) BETWEEN 10 AND 15")(lambda s, d: orders(s, d).filter_by_length(10, 15).sequence_lengths())
+register("sample", "SELECT user_id, count(*) AS length FROM events WHERE user_id IN (SELECT user_id FROM (SELECT DISTINCT user_id FROM events) ORDER BY md5('7:' || user_id), user_id LIMIT 10) GROUP BY 1")(lambda s, d: events(s, d).sample(10, 7).sequence_lengths())
 
 
 # --- descriptive -----------------------------------------------------------------------------------
@@ -303,6 +323,9 @@ register(
     f"WITH {_E}, {_SPELLS} SELECT state, round(avg(d), 6) AS mean_duration, round(CAST(median(d) AS DOUBLE), 6) AS median_duration, min(d) AS min_duration, max(d) AS max_duration, round(stddev_samp(d), 6) AS std_duration, count(*) AS n_spells FROM spells GROUP BY 1",
 )(lambda s, d: transitions.state_spell_stats(events(s, d)).select("state", r6("mean_duration"), r6("median_duration"), "min_duration", "max_duration", r6("std_duration"), "n_spells"))
 
+QUERIES["state_duration_stats"] = lambda s, d: transitions.state_duration_stats(events(s, d)).select("state", r6("mean_duration"), r6("median_duration"), "min_duration", "max_duration", r6("std_duration"), "n_spells")
+ORACLES["state_duration_stats"] = ORACLES["state_spell_stats"]
+
 _FREQ = "al AS (SELECT state, count(*) / (SELECT count(*) FROM e) AS p FROM e GROUP BY 1)"
 
 
@@ -367,12 +390,13 @@ _WORD = "l AS (SELECT id, string_agg(chr(96 + CAST(dr AS INT)), '' ORDER BY time
 register("dist_om_unit", f"WITH {_E}, {_WORD} SELECT a.id AS id_a, b.id AS id_b, CAST(levenshtein(a.st, b.st) AS DOUBLE) AS distance FROM l a JOIN l b ON a.id < b.id")(lambda s, d: _pairs(events(s, d), "om", sub_cost=1.0))
 
 
-def _dp(cell: str, top: str, side: str, out: str, extra: str = "", carry: str = "0") -> str:
+def _dp(cell: str, top: str, side: str, out: str, extra: str = "", carry: str = "0", pool: str = _T, pairs: str = "") -> str:
     """SQL that fills a DP table row by row. In ``cell``: dg, up, lf, i and j from 1, and mp, the value of ``carry``."""
     cell = cell.replace("dg", "r[j]").replace("up", "r[j + 1]").replace("lf", "acc[-1]")
     cell = re.sub(r"\bi\b", "(i0 + 1)", re.sub(r"\bj\b", "CAST(q[1] AS INT)", cell))
     side = re.sub(r"\bi\b", "(i0 + 1)", side)
-    return f"""WITH RECURSIVE {_T}{extra}, {_P}, mp AS (SELECT {carry} AS mp),
+    met = f"{_LISTS}, p AS (SELECT id_a, id_b, a.st AS x, b.st AS y, a.n AS nx, b.n AS ny FROM {pairs} JOIN l a ON a.id = id_a JOIN l b ON b.id = id_b)" if pairs else _P
+    return f"""WITH RECURSIVE {pool}{extra}, {met}, mp AS (SELECT {carry} AS mp),
 dp AS (SELECT id_a, id_b, x, y, nx, ny, mp, 0 AS i0, list_prepend(CAST(0 AS DOUBLE), list_transform(range(1, ny + 1), lambda j: CAST({top} AS DOUBLE))) AS r FROM p CROSS JOIN mp
 UNION ALL SELECT id_a, id_b, x, y, nx, ny, mp, i0 + 1, list_reduce(list_prepend([CAST({side} AS DOUBLE)], list_transform(range(1, ny + 1), lambda k: [CAST(k AS DOUBLE)])), lambda acc, q: list_append(acc, CAST({cell} AS DOUBLE))) FROM dp WHERE i0 < nx)
 SELECT id_a, id_b, round({out}, 6) AS distance FROM dp WHERE i0 = nx"""
@@ -396,7 +420,13 @@ register(
     _dp(_EDIT.format(sub=f"{_SUB2} + CASE WHEN i > 1 AND j > 1 THEN abs((CASE WHEN x[i - 1] = x[i] THEN 1.0 ELSE 0.0 END) - (CASE WHEN y[j - 1] = y[j] THEN 1.0 ELSE 0.0 END)) ELSE 0.0 END"), "j", "i", "r[ny + 1]"),
 )(lambda s, d: _pairs(talks(s, d), "omstran"))
 register("dist_dtw", _dp("CASE WHEN x[i] = y[j] THEN 0.0 ELSE 1.0 END + least(up, lf, dg)", "CAST('inf' AS DOUBLE)", "CAST('inf' AS DOUBLE)", "r[ny + 1]"))(lambda s, d: _pairs(talks(s, d), "dtw"))
-register("dist_dtw_normalized")(lambda s, d: _pairs(talks(s, d), "dtw", window=3, normalize=True))
+# A cell also carries the steps of its path: up, then left, then the diagonal where they tie. Cells are (distance, steps).
+_STEP = "CASE WHEN {u}[1] <= {l}[1] AND {u}[1] <= {d}[1] THEN {u} WHEN {l}[1] <= {d}[1] THEN {l} ELSE {d} END".format(u="r[CAST(q[1] AS INT) + 1]", l="acc[-1]", d="r[CAST(q[1] AS INT)]")
+_WARP = f"""WITH RECURSIVE {_T}, {_P}, dp AS (SELECT id_a, id_b, x, y, nx, ny, 0 AS i, list_prepend([0.0::DOUBLE, 0.0::DOUBLE], list_transform(range(1, ny + 1), lambda j: ['inf'::DOUBLE, 0.0::DOUBLE])) AS r FROM p
+UNION ALL SELECT id_a, id_b, x, y, nx, ny, i + 1, list_reduce(list_prepend([['inf'::DOUBLE, 0.0::DOUBLE]], list_transform(range(1, ny + 1), lambda k: [[k::DOUBLE]])),
+  lambda acc, w: list_append(acc, CASE WHEN abs(i + 1 - w[1][1]) > 3 THEN ['inf'::DOUBLE, 0.0::DOUBLE] ELSE list_transform([{_STEP.replace('q[1]', 'w[1][1]')}], lambda b: [b[1] + CASE WHEN x[i + 1] = y[CAST(w[1][1] AS INT)] THEN 0.0 ELSE 1.0 END, b[2] + 1])[1] END)) FROM dp WHERE i < nx)
+SELECT id_a, id_b, round(r[ny + 1][1] / greatest(r[ny + 1][2], 1), 6) AS distance FROM dp WHERE i = nx"""
+register("dist_dtw_normalized", _WARP)(lambda s, d: _pairs(talks(s, d), "dtw", window=3, normalize=True))
 _LOW = "least(up, lf, dg)"
 _SOFT = f"CASE WHEN x[i] = y[j] THEN 0.0 ELSE 1.0 END + {_LOW} - ln(exp({_LOW} - up) + exp({_LOW} - lf) + exp({_LOW} - dg))"
 register("dist_softdtw", _dp(_SOFT, "CAST('inf' AS DOUBLE)", "CAST('inf' AS DOUBLE)", "r[ny + 1]"))(lambda s, d: _pairs(talks(s, d), "softdtw"))
@@ -451,42 +481,152 @@ register(
 )(lambda s, d: (lambda p: discrepancy.discrepancy_frame(distances.compute(p, "euclidean").pairs, _by_three(p)).select("n_groups", *(r6(c) for c in ("ss_total", "ss_within", "ss_between", "pseudo_r2", "pseudo_f"))))(events(s, d)))
 
 
-@register("multi_factor_discrepancy")
+_TALK_OM = _dp(_EDIT.format(sub=_SUB2), "j", "i", "r[ny + 1]")
+
+
+@register("multi_factor_discrepancy", oracles.permutations(_TALK_OM, {"parity": "id % 2", "third": "id % 3"}, 99, 1))
 def multi_factor(spark: SparkSession, d: str) -> DataFrame:
     dm = distances.compute(talks(spark, d), "om")
     factors = {"parity": [x % 2 for x in dm.labels], "third": [x % 3 for x in dm.labels]}
     out = discrepancy.multi_factor_discrepancy(dm, factors, 99, 1)
-    return spark.createDataFrame([(k, float(r.pseudo_r2), float(r.pseudo_f), float(r.p_value)) for k, r in out.items()], "factor string, pseudo_r2 double, pseudo_f double, p_value double")
+    rows = [(k, *(round(float(x), 6) for x in (r.pseudo_r2, r.pseudo_f, r.p_value))) for k, r in out.items()]
+    return spark.createDataFrame(rows, "factor string, pseudo_r2 double, pseudo_f double, p_value double")
 
 
-@register("discrepancy_permutation")
+@register("discrepancy_permutation", f"SELECT pseudo_r2, pseudo_f, p_value FROM ({oracles.permutations(_TALK_OM, {'third': 'id % 3'}, 199, 1)})")
 def discrepancy_permutation(spark: SparkSession, d: str) -> DataFrame:
     dm = distances.compute(talks(spark, d), "om")
     r = discrepancy.discrepancy_analysis(dm, [x % 3 for x in dm.labels], 199, 1)
-    return spark.createDataFrame([(float(r.pseudo_r2), float(r.pseudo_f), float(r.p_value))], "pseudo_r2 double, pseudo_f double, p_value double")
+    return spark.createDataFrame([tuple(round(float(x), 6) for x in (r.pseudo_r2, r.pseudo_f, r.p_value))], "pseudo_r2 double, pseudo_f double, p_value double")
+
+
+register("pam", oracles.pam(_TALK_OM, 3))(lambda s, d: clustering.pam_clustering(distances.compute(talks(s, d), "om"), 3).to_dataframe(s))
+register("clara", oracles.clara(_TALK_OM, 3, 5, 1))(lambda s, d: clustering.clara_clustering(distances.compute(talks(s, d), "om"), 3, random_state=1).to_dataframe(s))
+
+
+def _clara_pool_sql(k: int, samples: int, size: int) -> str:
+    """Samples of a pool by MD5, PAM on each, all sequences against the medoids."""
+    om = lambda pairs: _dp(_EDIT.format(sub=_SUB2), "j", "i", "r[ny + 1]", pool=_O, pairs=pairs)
+    drawn = f"dr AS (SELECT s, id FROM (SELECT s, id, row_number() OVER (PARTITION BY s ORDER BY md5(s || ':' || id)) AS o FROM (SELECT DISTINCT o_custkey AS id FROM orders) CROSS JOIN range({samples}) t(s)) WHERE o <= {size})"
+    within = om("(SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM dr a JOIN dr b ON a.s = b.s AND a.id < b.id)")
+    runs = f"SELECT s AS run, list(i ORDER BY i) AS s, {k} AS k FROM dr JOIN ids USING (id) GROUP BY dr.s"
+    found = f"""WITH RECURSIVE {drawn}, {oracles.matrix(within)}, {oracles.medoids(runs)}
+SELECT run, c, ids.id AS medoid FROM (SELECT run, unnest(med) AS i, unnest(range(0, len(med))) AS c FROM md) JOIN ids USING (i)"""
+    to = om("(SELECT DISTINCT e.id AS id_a, medoid AS id_b FROM e, mds)")
+    return f"""WITH mds AS ({found}), dist AS ({to}), z AS (SELECT run, id_a AS id, min((distance, c)) AS b FROM dist JOIN mds ON medoid = id_b GROUP BY ALL),
+best AS (SELECT min((t, run))[2] AS run FROM (SELECT run, sum(b[1]) AS t FROM z GROUP BY run))
+SELECT id, CAST(b[2] AS INT) AS cluster, b[1] AS distance FROM z JOIN best USING (run)"""
 
 
-register("pam")(lambda s, d: clustering.pam_clustering(distances.compute(talks(s, d), "om"), 3).to_dataframe(s))
-register("clara")(lambda s, d: clustering.clara_clustering(distances.compute(talks(s, d), "om"), 3, random_state=1).to_dataframe(s))
-register("clara_pool")(lambda s, d: clustering.clara_pool(orders(s, d), 4)[0])
+register("clara_pool", _clara_pool_sql(4, 5, 48))(lambda s, d: clustering.clara_pool(orders(s, d), 4)[0])
 
 
-@register("pam_range")
+@register("pam_range", oracles.pam_range(_TALK_OM, 2, 5))
 def pam_range(spark: SparkSession, d: str) -> DataFrame:
     rows = clustering.pam_range(distances.compute(talks(spark, d), "om"), clustering.k_range(2, 5))
-    return spark.createDataFrame([(r["k"], float(r["ASW"]), float(r["R2"]), float(r["total_cost"])) for r in rows], "k int, asw double, r2 double, total_cost double")
+    return spark.createDataFrame([(r["k"], *(round(float(r[c]), 6) for c in ("ASW", "R2", "total_cost"))) for r in rows], "k int, asw double, r2 double, total_cost double")
+
+
+def _first_of(result: DataFrame) -> DataFrame:
+    """Each id with the least id of its cluster: clusters whatever their numbers."""
+    first = result.groupBy("cluster").agg(F.min("id").alias("cluster_first"))
+    return result.join(first, "cluster").select("id", "cluster_first")
 
 
 for _m in ("ward", "complete", "average", "single"):
-    register(f"hierarchical_{_m}")(lambda s, d, m=_m: clustering.hierarchical_clustering(distances.compute(talks(s, d), "om"), 4, m).to_dataframe(s))
+    register(f"hierarchical_{_m}", oracles.linkage(_TALK_OM, _m, 4))(lambda s, d, m=_m: _first_of(clustering.hierarchical_clustering(distances.compute(talks(s, d), "om"), 4, m).to_dataframe(s)))
 
 
-@register("dissimilarity_tree")
+@register("dissimilarity_tree", oracles.tree(_TALK_OM, "SELECT conv_id AS id, count(*) AS turns, conv_id % 2 AS parity FROM conversations GROUP BY conv_id", ["turns", "parity"]))
 def dissimilarity_tree(spark: SparkSession, d: str) -> DataFrame:
     """Conversations by their number of turns and the parity of their id."""
     p = talks(spark, d)
-    dm, turns = distances.compute(p, "om"), {r.conv_id: r.length for r in p.sequence_lengths().collect()}
-    return discrepancy.dissimilarity_tree(dm, np.array([[turns[x], x % 2] for x in dm.labels]), ["turns", "parity"]).to_dataframe(spark)
+    dm = distances.compute(p, "om")
+    turns = {r.conv_id: r.length for r in p.sequence_lengths().where("conv_id is not null").limit(distances.MAX_DENSE).collect()}
+    out = discrepancy.dissimilarity_tree(dm, np.array([[turns[x], x % 2] for x in dm.labels]), ["turns", "parity"]).to_dataframe(spark)
+    return out.withColumn("pseudo_r2", F.round("pseudo_r2", 6))
+
+
+@register("pam_predict", f"SELECT id, cluster FROM ({oracles.pam(_TALK_OM, 3)})")
+def pam_predict(spark: SparkSession, d: str) -> DataFrame:
+    """The fitted sequences as if they were new ones."""
+    dm = distances.compute(talks(spark, d), "om")
+    model = clustering.PAMClustering(3).fit(dm)
+    return spark.createDataFrame(list(zip(dm.labels, map(int, model.predict(dm.values)))), "id long, cluster int")
+
+
+@register("pam_inits", "SELECT init, 3 AS n_medoids, 0 AS n_better_swaps FROM (VALUES ('build'), ('random'), ('k-medoids++')) t(init)")
+def pam_inits(spark: SparkSession, d: str) -> DataFrame:
+    """Whatever the start, no swap lowers the cost of the medoids found."""
+    dm = distances.compute(talks(spark, d), "om")
+    rows = []
+    for init in ("build", "random", "k-medoids++"):
+        found = clustering.pam_clustering(dm, 3, init=init, random_state=5)
+        medoids = [int(x) for x in found.medoid_indices]
+        others = [[*medoids[:m], x, *medoids[m + 1 :]] for m in range(3) for x in range(dm.n) if x not in medoids]
+        better = sum(dm.values[:, o].min(1).sum() < found.total_cost for o in others)
+        rows.append((init, len(set(medoids)), int(better)))
+    return spark.createDataFrame(rows, "init string, n_medoids int, n_better_swaps int")
+
+
+register("hierarchical_class", ORACLES["hierarchical_average"])(
+    lambda s, d: _first_of(clustering.HierarchicalClustering(4, "average").fit(distances.compute(talks(s, d), "om")).result.to_dataframe(s))
+)
+
+
+@register("distance_matrix", f"WITH d AS ({_TALK_OM}) SELECT (SELECT count(DISTINCT conv_id) FROM conversations) AS n, count(*) AS n_pairs, sum(distance) AS total, sum(distance) AS total_again FROM d")
+def distance_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """A dense matrix, and the same from its condensed form."""
+    dm = distances.compute(talks(spark, d), "om")
+    again = distances.DistanceMatrix.from_condensed(dm.to_condensed(), dm.labels)
+    first, last = dm.labels[0], dm.labels[-1]
+    assert again.get_distance(last, first) == dm[0, dm.n - 1]
+    return spark.createDataFrame([(dm.n, len(dm.to_condensed()), float(dm.values.sum() / 2), float(again.to_condensed().sum()))], "n long, n_pairs long, total double, total_again double")
+
+
+_MATRIX_LABELS = "lab AS (SELECT conv_id AS id, conv_id % 3 AS c FROM (SELECT DISTINCT conv_id FROM conversations))"
+_BOTH = f"od AS ({_TALK_OM}), d AS (SELECT id_a AS i, id_b AS j, distance AS d FROM od UNION ALL SELECT id_b, id_a, distance FROM od), {_MATRIX_LABELS}, g AS (SELECT id, c, count(*) OVER (PARTITION BY c) AS m FROM lab)"
+_AB = _SIL[_SIL.index("z AS (SELECT") :]
+
+
+@register("matrix_quality", f"WITH {_BOTH}, {_AB} SELECT i AS id, round(CASE WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END, 6) AS silhouette, round(a, 6) AS distance_to_center FROM ab")
+def matrix_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Silhouettes and distances to the centre of a dense matrix."""
+    dm = distances.compute(talks(spark, d), "om")
+    labels = [x % 3 for x in dm.labels]
+    s, c = clustering.silhouette_scores(dm, labels), clustering.distance_to_center(dm, labels)
+    return spark.createDataFrame([(x, round(float(a), 6), round(float(b), 6)) for x, a, b in zip(dm.labels, s, c)], "id long, silhouette double, distance_to_center double")
+
+
+@register("representatives_by_cluster", f"WITH {_BOTH} SELECT id, cluster, score FROM (SELECT i AS id, gi.c AS cluster, sum(d) AS score, row_number() OVER (PARTITION BY gi.c ORDER BY sum(d), i) AS r FROM d JOIN g gi ON gi.id = i JOIN g gj ON gj.id = j WHERE gi.c = gj.c GROUP BY 1, 2) WHERE r <= 2")
+def representatives_by_cluster(spark: SparkSession, d: str) -> DataFrame:
+    dm = distances.compute(talks(spark, d), "om")
+    r = clustering.extract_representatives(dm, 6, "centrality", [x % 3 for x in dm.labels])
+    return spark.createDataFrame([(dm.labels[i], int(c), float(s)) for i, c, s in zip(r.indices, r.cluster_labels, r.scores)], "id long, cluster long, score double")
+
+
+_PAIR = f"WITH {_T}, {_P}, {_COUNTS.replace('k AS (', 'kk AS (', 1)}, ch AS (SELECT a.id AS id_a, b.id AS id_b, sum(CASE WHEN a.c + b.c > 0 THEN (1 + r) * (a.c - b.c) * (a.c - b.c) / (a.c + b.c) ELSE 0 END) / 2 AS chi2_weighted FROM (SELECT *, dense_rank() OVER (ORDER BY state) - 1 AS r FROM kk) a JOIN kk b ON a.state = b.state AND a.id < b.id GROUP BY 1, 2)"
+
+
+@register(
+    "pair_functions",
+    f"""{_PAIR}, lc AS ({_dp(_EDIT.format(sub=_SUB2), "j", "i", "r[ny + 1]")})
+SELECT p.id_a, p.id_b, round((nx + ny - distance) / 2 / greatest(nx, ny), 6) AS lcs_similarity, round({_PREFIX.format(x='x', y='y')} / least(nx, ny), 6) AS lcp_similarity, round(chi2_weighted, 6) AS chi2_weighted
+FROM p JOIN lc ON lc.id_a = p.id_a AND lc.id_b = p.id_b JOIN ch ON ch.id_a = p.id_a AND ch.id_b = p.id_b""",
+)
+def pair_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Single-pair functions on the pairs of a tile's sequences, each pair by itself."""
+    pool = talks(spark, d)
+    seqs, k, n, *_ = distances.coded(pool)
+    weights = [1.0 + x for x in range(k)]
+
+    single = {"lcs_similarity": distances.lcs_similarity, "lcp_similarity": distances.lcp_similarity, "chi2_weighted": lambda a, b: distances.chi2_distance_weighted(a, b, weights, k)}
+
+    def each(t, k, name):
+        return np.array([single[name](t.a[: t.la[x], x], t.b[: t.lb[x], x]) for x in range(len(t.la))])
+
+    parts = [distances.kernel_pairs(seqs.select("id", "codes"), n, each, k, {"name": name}).select("id_a", "id_b", r6("distance", name)) for name in single]
+    return parts[0].join(parts[1], ["id_a", "id_b"]).join(parts[2], ["id_a", "id_b"])
 
 
 # --- mining ----------------------------------------------------------------------------------------
@@ -530,6 +670,47 @@ for _kind, _save, _load in (("csv", save_csv, load_csv), ("json", save_json, loa
 
 # --- generators ------------------------------------------------------------------------------------
 
-register("markov_sequences")(lambda s, d: generate_markov_sequences(s, 1000, 20, seed=1).data)
-register("simple_sequences")(lambda s, d: generate_simple_sequences(s, 1000, 10, 4, seed=1).data)
+_DRAWN = "CAST('0x' || substr(md5('{seed}:' || id || ':' || {t}), 1, 13) AS BIGINT)"
+_CHAIN = np.array([[0.5, 0.25, 0.125, 0.125], [0.125, 0.5, 0.25, 0.125], [0.25, 0.25, 0.25, 0.25], [0.0625, 0.0625, 0.125, 0.75]])
+_LIMITS = "[" + ", ".join("[" + ", ".join(f"{x!r}::DOUBLE" for x in row[:-1].tolist()) + "]" for row in np.cumsum(_CHAIN, axis=1)) + "]"
+register(
+    "markov_sequences",
+    f"""WITH RECURSIVE m AS (SELECT id, CAST(0 AS BIGINT) AS time, CAST(floor({_DRAWN.format(seed=1, t=0)} / 4503599627370496.0 * 4) AS INT) AS code FROM range(1000) t(id)
+UNION ALL SELECT id, time + 1, CAST(len(list_filter({_LIMITS}[code + 1], lambda x: x <= {_DRAWN.format(seed=1, t='(time + 1)')} / 4503599627370496.0)) AS INT) FROM m WHERE time < 19)
+SELECT id, time, ['A', 'B', 'C', 'D'][code + 1] AS state FROM m""",
+)(lambda s, d: generate_markov_sequences(s, 1000, 20, _CHAIN, seed=1).data)
+register("simple_sequences", f"SELECT id, t AS time, ['A', 'B', 'C', 'D'][1 + {_DRAWN.format(seed=1, t='t')} % 4] AS state FROM range(1000) a(id), range(10) b(t)")(
+    lambda s, d: generate_simple_sequences(s, 1000, 10, 4, seed=1).data
+)
 register("financial_journeys")(lambda s, d: generate_financial_journeys(s, 500, seed=1))
+_ENDS = ("kyc_rejected", "closed_voluntary", "closed_involuntary")
+
+
+@register("financial_journeys_law", "SELECT 500 AS n_ids, 0 AS n_repeated_times, 0 AS n_unknown, 0 AS n_outside, 0 AS n_not_from_lead, 0 AS n_after_the_end, 0 AS n_short_or_long, 0 AS n_unearned, true AS repeatable")
+def financial_journeys_law(spark: SparkSession, d: str) -> DataFrame:
+    """What holds of every simulated journey: counted breaches, and whether a seed gives the same rows again."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("id").orderBy("time")
+    rows = generate_financial_journeys(spark, 500, seed=1)
+    categories = F.create_map(*(F.lit(x) for kv in CATEGORIES.items() for x in kv))
+    past = F.collect_set("state").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    # A customer is active only once an account was opened.
+    later = ~F.col("state").isin(*ONBOARDING_STATES)
+    marked = rows.select(
+        "id",
+        "state",
+        F.coalesce(F.try_element_at(categories, F.col("state")) != F.col("state_category"), F.lit(True)).alias("unknown"),
+        ((F.year("date") != 2025) | (F.dayofyear("date") != F.col("time") + 1)).alias("outside"),
+        ((F.row_number().over(w) == 1) & (F.col("state") != "lead")).alias("start"),
+        (F.col("state").isin(*_ENDS) & F.lead("state").over(w).isNotNull()).alias("ended"),
+        (later & ~F.array_contains(past, "account_opened")).alias("unearned"),
+        (F.lag("time").over(w) == F.col("time")).alias("again"),
+    )
+    count = lambda c, name: F.coalesce(F.sum(F.col(c).cast("int")), F.lit(0)).cast("int").alias(name)
+    per = marked.groupBy("id").agg(F.count("*").alias("n"), F.max(F.col("state").isin(*_ENDS)).alias("closed"))
+    odd = per.agg(F.count("*").cast("int").alias("n_ids"), F.sum(((F.col("n") > 365) | (F.col("n") < 12) & ~F.col("closed")).cast("int")).cast("int").alias("n_short_or_long"))
+    other = generate_financial_journeys(spark, 500, seed=1)
+    same = rows.unionByName(other).groupBy("id", "time", "state").count().agg(F.bool_and(F.col("count") == 2).alias("repeatable"))
+    counted = marked.agg(count("again", "n_repeated_times"), count("unknown", "n_unknown"), count("outside", "n_outside"), count("start", "n_not_from_lead"), count("ended", "n_after_the_end"), count("unearned", "n_unearned"))
+    return counted.crossJoin(odd).crossJoin(same)  # one row each

@@ -8,7 +8,7 @@ from dataclasses import astuple, dataclass, field, fields
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathwise.functions.model import Alphabet, SequencePool
@@ -23,7 +23,7 @@ PRODUCT_STATES = [
 RISK_STATES = ["good_standing", "missed_payment", "delinquent_30", "delinquent_60", "delinquent_90", "collections", "closed_voluntary", "closed_involuntary"]
 ENGAGEMENT_STATES = ["app_download", "online_banking_active", "mobile_deposit_used", "direct_deposit_setup", "autopay_enabled", "rewards_enrolled"]
 ALL_STATES = ONBOARDING_STATES + ACTIVITY_STATES + PRODUCT_STATES + RISK_STATES + ENGAGEMENT_STATES
-_CATEGORY = {
+CATEGORIES = {
     s: name
     for name, group in (("onboarding", ONBOARDING_STATES), ("activity", ACTIVITY_STATES), ("product", PRODUCT_STATES), ("risk", RISK_STATES), ("engagement", ENGAGEMENT_STATES))
     for s in group
@@ -184,42 +184,51 @@ def generate_financial_journeys(spark: SparkSession, n_users: int = 100_000, yea
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [(i, t, s) for i in b.column(0).to_pylist() for t, s in _journey(i, seed, config)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string()))] + [pa.array([_CATEGORY[r[2]] for r in rows], pa.string())], ["id", "time", "state", "state_category"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string()))] + [pa.array([CATEGORIES[r[2]] for r in rows], pa.string())], ["id", "time", "state", "state_category"])
 
     out = spark.range(n_users).mapInArrow(run, "id long, time long, state string, state_category string")
     day = F.floor(F.col("time") / config.time_slots_per_day).cast("int")
     return out.withColumn("date", F.date_add(F.to_date(F.lit(f"{year}-01-01")), day))
 
 
+def _uniform(seed: int, *place: Column | str) -> Column:
+    """A number in 0..2**52 - 1 by the MD5 of seed and place: a draw that any engine can repeat."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c) if isinstance(c, str) else c for c in place)))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint")
+
+
+def markov_matrix(seed: int, n_states: int = 4) -> np.ndarray:
+    """Rows drawn from the uniform distribution over all distributions."""
+    return np.random.default_rng(seed).dirichlet(np.ones(n_states), n_states)
+
+
 def generate_markov_sequences(
     spark: SparkSession, n_sequences: int = 1000, sequence_length: int = 20, transition_matrix: np.ndarray | None = None, states: Sequence[str] | None = None, seed: int | None = None
 ) -> SequencePool:
-    """A uniform first state, then steps of a Markov chain; the default matrix has Dirichlet(1) rows."""
+    """A uniform first state, then steps of a Markov chain, in built-in functions; the default matrix has Dirichlet(1) rows."""
     seed = 0 if seed is None else seed
-    p = np.random.default_rng(seed).dirichlet(np.ones(4), 4) if transition_matrix is None else np.asarray(transition_matrix, float)
+    p = markov_matrix(seed) if transition_matrix is None else np.asarray(transition_matrix, float)
     names = [chr(65 + k) for k in range(len(p))] if states is None else list(states)
     if p.shape != (len(names),) * 2:
         raise ValueError("the transition matrix must have a row and a column for each state")
-    steps = np.cumsum(p, axis=1)
+    # The next state is the number of cumulated probabilities, but the last, that do not exceed the draw.
+    limits = F.array(*(F.array(*(F.lit(float(x)) for x in row[:-1])).cast("array<double>") for row in np.cumsum(p, axis=1)))
+    share = lambda t: _uniform(seed, F.col("id").cast("string"), t.cast("string")) / F.lit(float(1 << 52))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(0).to_pylist()
-            u = np.stack([np.random.default_rng([seed, i]).random(sequence_length) for i in ids]) if ids else np.zeros((0, sequence_length))
-            code = np.empty(u.shape, np.int64)
-            for t in range(sequence_length):
-                code[:, t] = (u[:, t] * len(names)).astype(int) if t == 0 else (u[:, t, None] >= steps[code[:, t - 1]]).sum(1)
-            code = np.minimum(code, len(names) - 1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(np.array(ids, np.int64), sequence_length)), pa.array(np.tile(np.arange(sequence_length), len(ids))), pa.array(np.array(names, object)[code.ravel()], pa.string())], ["id", "time", "state"]
-            )
+    def step(path: Column, t: Column) -> Column:
+        now = F.get(limits, F.get(path, t - 1))
+        return F.concat(path, F.array(F.size(F.filter(now, lambda x: x <= share(t))).cast("int")))
 
-    return SequencePool(spark.range(n_sequences).mapInArrow(run, "id long, time long, state string"), alphabet=Alphabet(tuple(names)))
+    first = F.array(F.floor(share(F.lit(0)) * len(names)).cast("int"))
+    path = F.aggregate(F.sequence(F.lit(1), F.lit(sequence_length - 1)), first, step) if sequence_length > 1 else first
+    rows = spark.range(n_sequences if sequence_length > 0 else 0).select("id", F.posexplode(path).alias("time", "code"))
+    state = F.get(F.array(*map(F.lit, names)), F.col("code"))
+    return SequencePool(rows.select("id", F.col("time").cast("long").alias("time"), state.alias("state")), alphabet=Alphabet(tuple(names)))
 
 
 def generate_simple_sequences(spark: SparkSession, n_sequences: int = 1000, sequence_length: int = 10, n_states: int = 4, seed: int | None = None) -> SequencePool:
     """Independent uniform states, from built-in functions alone."""
     names = [chr(65 + k) for k in range(n_states)]
     rows = spark.range(n_sequences).withColumn("time", F.explode(F.sequence(F.lit(0), F.lit(sequence_length - 1)).cast("array<bigint>")))
-    draw = F.pmod(F.xxhash64("id", "time", F.lit(0 if seed is None else seed)), F.lit(n_states)).cast("int")
+    draw = (_uniform(0 if seed is None else seed, F.col("id").cast("string"), F.col("time").cast("string")) % n_states).cast("int")
     return SequencePool(rows.withColumn("state", F.get(F.array(*map(F.lit, names)), draw)), alphabet=Alphabet(tuple(names)))

@@ -37,13 +37,58 @@ def test_alphabet():
     with pytest.raises(KeyError):
         a.get_color("z")
     assert a.with_colors(["#1", "#2"]).get_color("b") == "#2"
+    assert a.n_states == 2 and a[1] == "b" and a[-1] == "b"
+    assert a.with_colors({"b": "#9"}).get_color("b") == "#9" and a.with_colors({"b": "#9"}).get_color("a") == a.get_color("a")
+    assert Alphabet(("b", "a"), {"a": "#1"}).get_color("a") == "#1"
+
+
+def test_package_root():
+    import pathwise
+
+    assert pathwise.SequencePool is SequencePool and pathwise.Alphabet is Alphabet and pathwise.io.load_csv
+    assert {"Alphabet", "SequenceConfig", "SequencePool", "StateSequence", "io"} <= set(pathwise.__all__)
+
+
+def test_an_alphabet_has_a_bound(spark, monkeypatch):
+    from pathwise.functions import model
+
+    monkeypatch.setattr(model, "MAX_STATES", 3)
+    frame = spark.createDataFrame([(str(k % 4),) for k in range(9)], "s string")
+    with pytest.raises(ValueError, match="more than 3"):
+        Alphabet.from_column(frame, "s")
+    assert Alphabet.from_column(frame.where("s < '3'"), "s").n_states == 3
+
+
+def test_shared_folder(spark, monkeypatch):
+    from pathwise.functions import runtime
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        runtime.shared_dir(Session)
+    monkeypatch.setattr(Context, "master", "local[4]")
+    assert runtime.shared_dir(Session)
+    monkeypatch.setattr(Context, "getCheckpointDir", lambda self: "hdfs://x/y")
+    assert runtime.shared_dir(Session) == "hdfs://x/y"
+    assert runtime.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
 def test_pool_surface(spark, simple):
     assert len(simple) == 3 and simple.sequence_ids == [1, 2, 3] and simple[2] == list("ABBC") and simple.get_encoded_sequence(3) == [1, 1, 2, 3]
     d = simple.describe()
     assert (d["n_sequences"], d["total_observations"], d["mean_length"], d["states"]) == (3, 12, 4.0, list("ABCD"))
-    assert len(simple.to_state_sequence()) == 12 and coerce(simple) is simple
+    assert len(simple.to_state_sequence()) == 12 and coerce(simple) is simple and list(simple) == [1, 2, 3]
+    assert SequencePool.coerce(simple) is simple and isinstance(StateSequence.coerce(simple), StateSequence) and len(SequencePool.coerce(simple.data)) == 3
     assert simple.recode_states({"D": "C"}).alphabet.states == ("A", "B", "C")
     assert len(simple.sample(2, 1)) == 2 and simple.sample(2, 1).sequence_ids == simple.sample(2, 1).sequence_ids
     assert len(simple.filter_by_length(5)) == 0 and simple.filter_by_length(5).alphabet.states == tuple("ABCD")
@@ -128,6 +173,10 @@ def test_intervals(spark):
     assert [t for _, t, _ in out(sample_intervals(iv([(1, 0, 3, "A"), (1, 4, 6, "B")])))] == [0, 1, 2, 4, 5]
     shadow = out(sample_intervals(iv([(1, 0, 10, "E"), (1, 4, 8, "L")])))
     assert (1, 5, "L") in shadow and not {8, 9} & {t for _, t, _ in shadow}
+    rng = random.Random(6)
+    rows = [(rng.randrange(5), a := rng.randrange(30), a + rng.randrange(8), rng.choice("ABC")) for _ in range(80)] + [(9, None, 4, "A"), (9, 1, None, "B"), (None, 2, 4, "C"), (4, 3, 9, None)]
+    default, given = (sample_intervals(iv(rows), time_points=points).data for points in (None, list(range(40))))
+    assert default.count() == given.count() > 100 and default.exceptAll(given).count() == 0
     with pytest.raises(ValueError):
         sample_intervals(iv([(1, 3, 1, "A")]))
     with pytest.raises(ValueError, match="explicit time_points"):
@@ -228,12 +277,45 @@ def test_distance_contracts(spark, monkeypatch):
         distances.DistanceMatrix(values=np.zeros((2, 2))).get_distance(0, 1)
     rng = random.Random(2)
     many = pool(spark, *("".join(rng.choice("ABC") for _ in range(rng.randrange(1, 9))) for _ in range(40)))
+    whole = {method: distances.compute(many, method).values for method in ("om", "lcp")}
+    monkeypatch.setattr(distances, "BLOCK", 3)
+    for method, values in whole.items():
+        again = distances.compute(many, method)
+        assert again.pairs.count() == 40 * 39 // 2 and np.allclose(again.values, values)
+    monkeypatch.setattr(distances, "MAX_DENSE", 39)
+    with pytest.raises(ValueError, match="clara_pool"):
+        distances.compute(many, "om").values  # noqa: B018
+
+
+def test_tiles_are_dealt_to_many_tasks(spark):
+    assert distances.grid(0, 8) == (1, 1) and distances.grid(5, 8) == (1, 1)
+    for n in (150, 1500, 10**6):
+        g, tasks = distances.grid(n, 8)
+        assert tasks >= 64 and math.ceil(n / g) <= distances.BLOCK
+    rng = random.Random(4)
+    many = pool(spark, *("".join(rng.choice("ABC") for _ in range(rng.randrange(1, 9))) for _ in range(120)))
     for method in ("om", "lcp"):
-        whole = distances.compute(many, method).values
-        n, seqs = many.n_sequences(), many.sequences
-        make = distances.kernel_pairs(seqs.select("id", "codes"), n, distances.KERNELS["om"], 3, {}, 7) if method == "om" else distances.native_pairs(seqs.select("id", "codes", "n"), n, lambda a, b: F.col(f"{a}n") + F.col(f"{b}n") - 2 * distances._common_prefix(F.col(f"{a}codes"), F.col(f"{b}codes")), 7)
-        assert make.count() == n * (n - 1) // 2
-        assert np.allclose(distances.DistanceMatrix(make, ids=seqs.select("id")).values, whole)
+        busy = distances.compute(many, method).pairs.select(F.spark_partition_id()).distinct().count()
+        assert busy >= 16
+
+
+@pytest.mark.parametrize("method", sorted(SMALL))
+def test_null_states_and_ids_in_distances(spark, method):
+    """A null state is one more state, an id that is null names no sequence."""
+    rows = [(k, t, None if s == "-" else s) for k, text in ((1, "A-C"), (2, "AAC"), (3, "-CC"), (None, "ABC")) for t, s in enumerate(text)]
+    with_null = distances.compute(SequencePool(spark.createDataFrame(rows, "id long, time long, state string")), method)
+    named = distances.compute(pool(spark, "AZC", "AAC", "ZCC"), method)
+    assert with_null.labels == [1, 2, 3]
+    assert np.allclose(with_null.values, named.values) and np.isfinite(named.values).all()
+
+
+def test_null_states_need_a_place_in_a_given_cost_matrix(spark):
+    nulls = SequencePool(spark.createDataFrame([(1, 0, "A"), (1, 1, None), (2, 0, "B")], "id long, time long, state string"))
+    with pytest.raises(ValueError, match="too small"):
+        distances.compute(nulls, "om", sm=np.ones((2, 2)))
+    assert distances.compute(nulls, "om", sm=np.ones((3, 3)) - np.eye(3)).get_distance(1, 2) == 2
+    rows, medoids = clustering.clara_pool(nulls, 1)
+    assert rows.count() == 2 and len(medoids) == 1
 
 
 # --- clustering, discrepancy, mining ---------------------------------------------------------------
