@@ -4,17 +4,21 @@ The normalised items become one automaton over word ids, built on the driver fro
 size is measured first and shipped to every task. Training words are streamed through it; at each
 position the longest suffix that occurs in some item is known. A suffix of ``window`` words or more
 marks its words as hit; an item of fewer words is hit only as a whole. A benchmark above
-``block_bytes`` is cut into blocks of whole items, each with its own automaton, and the rows pass all
-of them one after the other, so memory stays bounded and the result exact.
+``block_bytes`` is cut into blocks of whole items, each with its own automaton. Blocks are built, shipped
+and passed one at a time; the hits of each are written for the rows that have any, and the last pass
+merges them, so the driver and the tasks hold one block whatever the benchmark's size (and the driver
+the next one's items). An item longer than a block is a block of its own.
 
 Words are compared by 64-bit hashes. Defined results: a null text or item has no words; an item
 without words never occurs; an item with a null id is not reported but its words are hit; items of
-one id count once; rows may repeat, each is judged by itself; an empty benchmark hits nothing.
+one id count once; rows may repeat, each is judged by itself; an empty benchmark or table gives no hits
+or no rows. A text is held by one task, with some 40 bytes for each of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathwise.llm.runtime import neutral
+from pathwise.llm.runtime import materialise, neutral
 from pathwise.llm.text import ALNUM, Texts, Words, slices
 
 WINDOW = 10
@@ -167,18 +171,18 @@ class Index:
         return a[long], b[long]
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int, window: int) -> list[Index]:
-    """One index for each block of whole items; the driver holds one block's items at a time."""
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, str | None]]]:
+    """Blocks of whole items, one after the other; at least one, which may be empty."""
     items = benchmark.select(F.col("item_id").cast("string").alias("k"), "text")
-    out, block, size = [], [], 0
+    block, size = [], 0
     for k, text in items.toLocalIterator():
         n = len((text or "").encode())
         if block and size + n > block_bytes:
-            out.append(Index(block, window))
+            yield block
             block, size = [], 0
         block.append((k, text))
         size += n
-    return [*out, Index(block, window)] if block or not out else out
+    yield block
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -186,15 +190,29 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_b
 
     Columns of ``docs`` with those names are replaced.
     """
-    out = docs.drop("hit_n_words", "hit_words", "hit_spans", "hit_items")
-    spark = docs.sparkSession
-    for nth, index in enumerate(_blocks(benchmark, block_bytes, window)):
-        out = _pass(out, spark.sparkContext.broadcast(index), first=nth == 0)
-    return out
+    docs = docs.drop("row_of_hit", "hit_n_words", "hit_words", "hit_spans", "hit_items")
+    blocks, context = _blocks(benchmark, block_bytes), docs.sparkSession.sparkContext
+    block, found = next(blocks), None
+    for after in blocks:  # every block but the last
+        if found is None:  # hits of several blocks meet by the number of their row, in a table that keeps it
+            docs, found = materialise(docs.withColumn("row_of_hit", F.monotonically_increasing_id())), []
+        shipped = context.broadcast(Index(block, window))
+        hit = _pass(docs.select("row_of_hit", "text"), shipped, first=True).where(F.size("hit_words") > 0)
+        found.append(materialise(hit.select("row_of_hit", "hit_words", "hit_items")))
+        shipped.unpersist()
+        block = after
+    shipped = context.broadcast(Index(block, window))
+    if found is None:
+        return _pass(docs, shipped, first=True)
+    rows = reduce(DataFrame.unionByName, found).groupBy("row_of_hit")
+    rows = materialise(rows.agg(F.flatten(F.collect_list("hit_words")).alias("hit_words"), F.array_distinct(F.flatten(F.collect_list("hit_items"))).alias("hit_items")))
+    none = [F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c) for c, kind in (("hit_words", "bigint"), ("hit_items", "string"))]
+    own = [F.col(f"`{c}`") for c in docs.columns if c != "row_of_hit"]
+    return _pass(docs.join(rows, "row_of_hit", "left").select(*own, *none), shipped, first=False)
 
 
 def _pass(docs: DataFrame, shipped, first: bool) -> DataFrame:
-    """One block's pass. hit_words are word positions, flat; spans of earlier passes are merged in."""
+    """A block's pass. hit_words are word positions, flat; unless it is the first, the hits that the rows have are merged in."""
     extra = "hit_n_words long, hit_words array<long>, hit_spans array<long>, hit_items array<string>"
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if not f.name.startswith("hit_"))
 
@@ -253,9 +271,9 @@ def n_hit(column: str = "hit_words"):
     return F.aggregate(F.transform(F.col(column), lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row."""
-    found = matches(docs.select("doc_id", "text"), benchmark, window)
+    found = matches(docs.select("doc_id", "text"), benchmark, window, block_bytes)
     return found.select(
         "doc_id",
         F.col("hit_n_words").alias("n_words"),

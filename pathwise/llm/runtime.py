@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathwise.functions.runtime import materialise
+
+__all__ = ["bound_batches", "collect_bounded", "materialise", "neutral"]
 
 #: Rows and bytes of an Arrow batch of texts. Spark's defaults let a batch of long texts, which both the
 #: executor and its Python workers hold several times over, take hundreds of MB.
@@ -23,25 +23,6 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; only where none is set, as in tests, use a local one."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "pathwise-checkpoints"))
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage.
-
-    The rows are computed once, later reads survive lost executors, and the order and partition of
-    the rows are those of ``df``.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def collect_bounded(df: DataFrame, bound: int, what: str) -> list:
     """Collect a table whose row count has a proven bound; fail loudly if the proof was wrong."""
     rows = df.limit(bound + 1).collect()

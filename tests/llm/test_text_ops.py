@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import weakref
 import zlib
 
 from pathwise.llm import bpe, decontaminate, quality, queries, sharding
@@ -66,6 +67,27 @@ def test_contamination_of_random_small_alphabets(spark, block_bytes):
     assert Counter({k[:3]: 0 for k in got}) + sum((Counter({k[:3]: c}) for k, c in got.items()), Counter()) == want
 
 
+def test_blocks_of_the_benchmark_are_held_one_at_a_time(spark, monkeypatch):
+    rng = random.Random(8)
+    draw = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(n))
+    items = [(k, draw(rng.randrange(1, 25))) for k in range(60)]
+    rows = [(k, draw(rng.randrange(0, 80))) for k in range(100)] + [(None, None), (5, "")]
+    live, most, make = weakref.WeakSet(), [], decontaminate.Index.__init__
+
+    def started(self, *args):
+        make(self, *args)
+        live.add(self)
+        most.append(len(live))
+
+    monkeypatch.setattr(decontaminate.Index, "__init__", started)
+    frame = docs(spark, rows)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.matches(frame.withColumn("row_of_hit", frame["doc_id"]), bench, 10, 100)
+    assert len(most) > 5 and max(most) <= 2
+    assert "row_of_hit" not in got.columns
+    assert Counter(map(tuple, decontaminate.report(frame, bench, block_bytes=100).collect())) == Counter(brute_contamination(rows, items))
+
+
 def test_removal_cuts_only_the_passage(spark):
     passage = " ".join(f"item{i}" for i in range(12))
     bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
