@@ -5,14 +5,16 @@ path prefix) is added to or removed from it. The log is folded to validity inter
 each capture is evaluated against the entries that were active on the day it was fetched.
 
 A list key's log is first reduced to its last action of each day, so a hot key has at most one row for
-each day of the calendar. Intervals are cut at month borders and captures meet them on key and month:
-an equi-join in which a hot key is spread over months and meets at most a month of intervals. Captures
-are evaluated once for each distinct URL and day.
+each day of the calendar. Captures are evaluated once for each distinct URL and day, and their keys asked
+about once for each day: those questions, of which a hot key has at most as many as there are days, meet
+the intervals, cut at month borders, in an equi-join on key and month. Only keys with an answer go back
+to the captures that asked.
 
 Defined results: a null or host-less URL, or a null day, matches nothing; host names are compared in
 lower case; of several matches the longest key decides, then a block over an allow, then the list's
 name; on one day a removal beats an addition; entries with a null key, list or day are void; rows may
-repeat; empty tables match nothing.
+repeat; empty tables match nothing. A URL of n path parts or labels has n keys, whose total length grows with
+the square of its length.
 """
 
 from __future__ import annotations
@@ -20,8 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: No interval is open after this day.
-HORIZON = "2100-01-01"
+from pathwise.llm.runtime import materialise
+
+VERDICT = ("n_active", "verdict", "decided_by", "list_name")
 
 
 def host(url: Column) -> Column:
@@ -46,35 +49,43 @@ def keys(url: Column) -> Column:
 
 
 def intervals(entries: DataFrame) -> DataFrame:
-    """(list, action, key, start, stop) from a log (list, action, key, op, day); op is add or remove."""
+    """(list, action, key, start, stop) from a log (list, action, key, op, day); op is add or remove, an open interval's stop is null."""
     rows = entries.where("list is not null and key is not null and day is not null")
     daily = rows.groupBy("list", "action", "key", "day").agg(F.min(F.when(F.col("op") == "add", 1).otherwise(0)).alias("on"))
     w = Window.partitionBy("list", "action", "key").orderBy("day")
-    spans = daily.withColumn("stop", F.coalesce(F.lead("day").over(w), F.to_date(F.lit(HORIZON))))
+    spans = daily.withColumn("stop", F.lead("day").over(w))
     return spans.where("on = 1").select("list", "action", "key", F.col("day").alias("start"), "stop")
 
 
 def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", day: str = "day") -> DataFrame:
-    """``captures`` with n_active (active entries), verdict (block, allow or none), decided_by and list_name."""
-    own = [c for c in captures.columns if c not in ("n_active", "verdict", "decided_by", "list_name")]
-    fetched = captures.select(F.col(f"`{url}`").alias("u"), F.col(f"`{day}`").alias("d")).where(host(F.col("u")).isNotNull() & F.col("d").isNotNull()).distinct()
-    asked = fetched.select("u", "d", F.trunc("d", "month").alias("month"), F.explode(F.array_distinct(keys(F.col("u")))).alias("key"))
+    """``captures`` with n_active (active entries), verdict (block, allow or none), decided_by and list_name.
+
+    Columns of ``captures`` with those four names are replaced, any other name is kept.
+    """
+    own = [c for c in captures.columns if c not in VERDICT]
+    captures = captures.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(own)), F.col(f"`{url}`").alias("u"), F.col(f"`{day}`").alias("d"))
+    fetched = materialise(captures.select("u", "d").where(host(F.col("u")).isNotNull() & F.col("d").isNotNull()).distinct())
+    asked = fetched.select("u", "d", F.explode(F.array_distinct(keys(F.col("u")))).alias("key"))
     # Only the months in which anything was fetched matter: two dates bound the cut intervals.
     valid = intervals(entries).crossJoin(F.broadcast(fetched.agg(F.min("d").alias("lo"), F.max("d").alias("hi"))))
-    valid = valid.select("list", "action", "key", F.greatest("start", "lo").alias("start"), F.least("stop", F.date_add("hi", 1)).alias("stop")).where("start < stop")
+    valid = valid.select("list", "action", "key", F.greatest("start", "lo").alias("start"), F.least(F.coalesce("stop", F.date_add("hi", 1)), F.date_add("hi", 1)).alias("stop")).where("start < stop")
     month = F.sequence(F.trunc("start", "month"), F.trunc(F.date_sub("stop", 1), "month"), F.expr("interval 1 month"))
     valid = valid.select("list", "action", "key", "start", "stop", F.explode(month).alias("month"))
-    hits = asked.join(valid, ["key", "month"]).where("start <= d and d < stop")
-    best = F.max(F.struct(F.length("key").alias("n"), (F.col("action") == "block").cast("int").alias("b"), F.col("key").alias("key"), F.col("list").alias("list")))
-    found = hits.groupBy("u", "d").agg(F.count("*").alias("n_active"), best.alias("best"))
-    found = found.select("u", "d", F.col("n_active").alias("_n"), F.when(F.col("best.b") == 1, "block").otherwise("allow").alias("_v"), F.col("best.key").alias("_k"), F.col("best.list").alias("_l"))
-    out = captures.join(found, (F.col(f"`{url}`") == F.col("u")) & (F.col(f"`{day}`") == F.col("d")), "left")
+    # A key is asked about once for each day, merged before the shuffle, however many captures ask.
+    questions = asked.select("key", "d").distinct().withColumn("month", F.trunc("d", "month"))
+    hits = questions.join(valid, ["key", "month"]).where("start <= d and d < stop")
+    answers = materialise(hits.groupBy("key", "d").agg(F.count("*").alias("n"), F.max(F.struct((F.col("action") == "block").cast("int").alias("b"), "list")).alias("best")))
+    # Absent keys end here. Spark can split a hot key, and below a hot URL: one side is a materialised row for each key.
+    best = F.max(F.struct(F.length("key").alias("n"), F.col("best.b").alias("b"), F.col("key").alias("key"), F.col("best.list").alias("list")))
+    found = asked.join(answers, ["key", "d"]).groupBy("u", "d").agg(F.sum("n").alias("n"), best.alias("best"))
+    found = materialise(found.select("u", "d", "n", F.when(F.col("best.b") == 1, "block").otherwise("allow").alias("v"), F.col("best.key").alias("k"), F.col("best.list").alias("l")))
+    out = captures.join(found, ["u", "d"], "left")
     return out.select(
-        *(F.col(f"`{c}`") for c in own),
-        F.coalesce("_n", F.lit(0)).cast("long").alias("n_active"),
-        F.coalesce("_v", F.lit("none")).alias("verdict"),
-        F.coalesce("_k", F.lit("")).alias("decided_by"),
-        F.coalesce("_l", F.lit("")).alias("list_name"),
+        *(F.col(f"c{k}").alias(c) for k, c in enumerate(own)),
+        F.coalesce("n", F.lit(0)).cast("long").alias("n_active"),
+        F.coalesce("v", F.lit("none")).alias("verdict"),
+        F.coalesce("k", F.lit("")).alias("decided_by"),
+        F.coalesce("l", F.lit("")).alias("list_name"),
     )
 
 
