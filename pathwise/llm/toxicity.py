@@ -12,11 +12,14 @@ Features are chosen over the whole sample, by how strongly the shares of documen
 dense differ between the classes; identity terms always take part. Labels, languages, sources and ids are
 never inputs.
 
-Bound: ``SAMPLE`` labelled rows, those of the least hashes of their ids; at most ``FEATURES`` features.
+Bound: ``SAMPLE`` labelled documents, those of the least hashes of their ids, one text each; at most ``FEATURES``
+features.
 
 Defined results: a null text is the empty text and scores by the intercept; rows with a null label or id
-are not learned from, a document labelled more than once is toxic if any label says so; without
-labelled rows every score is 0.5; repeated rows are each scored; an empty table gives no rows.
+are not learned from, a document labelled more than once is toxic if any label says so, and of several
+texts of one id the least is learned from; without labelled rows every score is 0.5; repeated rows are
+each scored; an empty table gives no rows. A text is held by one task, with some 100 bytes for each of
+its own.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathwise.llm.runtime import materialise
 from pathwise.llm.text import ALNUM, Texts, Words, slices
 
 SAMPLE = 30_000
@@ -144,7 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # At most ``sample`` short rows: a broadcast of a fixed bound.
-    known = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    known = materialise(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"))
     counts = known.mapInArrow(_document_frequencies, "h long, toxic int, n long").groupBy("h").agg(
         F.coalesce(F.sum(F.when(F.col("toxic") == 1, F.col("n"))), F.lit(0)).alias("a"), F.coalesce(F.sum(F.when(F.col("toxic") == 0, F.col("n"))), F.lit(0)).alias("b")
     )
