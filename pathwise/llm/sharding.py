@@ -10,7 +10,7 @@ equal byte targets. Nothing is sorted or summed in one task.
 Law: ``bytes``. A row's shard is that of its middle byte, so a shard differs from the mean by at most the
 size of one row. Defined results: a null text has no bytes and counts as the overhead alone, with the
 CRC of the empty text; null ids sort first; repeated rows are placed one by one; an empty table gives
-no rows.
+no rows. A text is read where it stands and never moved; one larger than a shard leaves others short.
 """
 
 from __future__ import annotations
