@@ -9,7 +9,8 @@ that see it; the EM starts from "two bad votes are bad, one is in doubt" and so
 votes are borne out by others. The length of a text is no vote: it would part short from long texts.
 
 Defined results: a null text is the empty text, with no words and no good vote; rows may repeat and each
-counts; an empty table gives no rows.
+counts; an empty table gives no rows. A text is held in one task's heap, with some 60 bytes for each of
+its words.
 """
 
 from __future__ import annotations
@@ -141,15 +142,13 @@ def judge(docs: DataFrame, keep_probability: float = KEEP_PROBABILITY) -> DataFr
 def keep(docs: DataFrame, keep_probability: float = KEEP_PROBABILITY) -> DataFrame:
     """The rows of ``docs``, all columns, that the rules keep.
 
-    A verdict is a function of the text alone, so texts are judged where they stand and never shuffled
-    or written. The verdict holds a random term far too small to count: the optimiser copies the costly
-    figures into a filter below their projection unless that projection is not deterministic.
+    The figures are computed once: rows are written with their votes, so that each is judged, once all
+    votes are counted, by a few integers beside it.
     """
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    _, p, passed = _verdict(*_fit(_voted(docs.select(F.lit(0).alias("doc_id"), "text"))))
-    judged = _voted(docs.select(row.alias("doc_id"), "text"))
-    verdict = (F.when(passed, p).otherwise(-1.0) + F.rand() * 1e-300).alias("p")
-    return judged.select("doc_id", verdict).where(F.col("p") >= keep_probability).select("doc_id.*")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc_id")
+    seen = materialise(_voted(docs.select(row, "text")))
+    _, p, passed = _verdict(*_fit(seen))
+    return seen.where(passed & (p >= keep_probability)).select("doc_id.*")
 
 
 def oracle(rounds: int = ROUNDS, keep_probability: float = KEEP_PROBABILITY) -> str:
