@@ -17,7 +17,7 @@ there and only spanning edges leave the task.
 
 Recall: sketches miss a pair at the threshold with a chance of 3e-5; a pair with similarity 0.8 shares a
 first-level bucket in all but 0.2 ** (RUNS * 1.25) of cases, and where those are all large, a child of
-one in all but about 0.16 ** (RUNS * 0.8 * 1.25).
+one in all but about 0.16 ** RUNS.
 
 Cost: the work of a family grows with the square of its classes, as the links of each are asked for. A text
 is shingled once for its sketch and once in each tile of its class; one of n words takes some 150 * n bytes.
@@ -57,6 +57,10 @@ PROPOSE = 0.66
 LOOSE = 2 * PROPOSE - 1
 #: The chance that a node draws a second coordinate.
 SECOND = DENOMINATOR / NUMERATOR - 1
+#: Large buckets whose pivots are sent to all tasks, at PIVOTS * 150 bytes each; pivots of more are joined.
+SENT = 20_000
+#: Classes whose addresses are broadcast to the texts, at 60 bytes or so each; more are joined.
+FEW = 200_000
 SEED = 20240229
 
 _RNG = np.random.default_rng(SEED)
@@ -167,7 +171,7 @@ def _propose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from sets.stars(pa.binary())
 
 
-def _canopies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _canopies(batches: Iterable[pa.RecordBatch], shipped=None) -> Iterator[pa.RecordBatch]:
     """For a row of a large bucket and the bucket's pivots: the pivots whose canopy it is in and, if none settles it, the children it goes to.
 
     Pivots near each other are one group, named by its least pivot: a row lists a group once.
@@ -175,7 +179,10 @@ def _canopies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     groups: dict[int, tuple[np.ndarray, list[bytes]]] = {}
     for batch in batches:
         canopies, children = [], []
-        for bucket, fp, sk, pivots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        buckets, *columns = (c.to_pylist() for c in batch.columns)
+        if shipped is not None:
+            columns.append([shipped.value[b] for b in buckets])
+        for bucket, fp, sk, pivots in zip(buckets, *columns, strict=True):
             if bucket not in groups:
                 if len(groups) > 1000:
                     groups.clear()
@@ -199,10 +206,16 @@ def _swept(large: DataFrame) -> tuple[DataFrame, DataFrame]:
     A bucket's pivots are the least hashes of PIVOTS slots, merged before they are shuffled. What is
     near a pivot is settled: all its partners are in that pivot's canopy.
     """
-    ranked = large.select("bucket", F.struct(F.xxhash64("fp", "bucket").alias("h"), "fp", "sketch").alias("p"))
-    slots = ranked.groupBy("bucket", F.pmod(F.col("p.h"), F.lit(PIVOTS)).alias("slot")).agg(F.min("p").alias("p"))
-    pivots = slots.groupBy("bucket").agg(F.collect_list("p").alias("pivots"))
-    swept = large.join(pivots, "bucket").select("bucket", "fp", "sketch", "pivots").mapInArrow(_canopies, "fp binary, sketch binary, near array<binary>, children array<long>")
+    h = F.xxhash64("fp", "bucket")
+    least = [F.min(F.when(F.pmod(h, F.lit(PIVOTS)) == k, F.struct(h.alias("h"), "fp", "sketch"))) for k in range(PIVOTS)]
+    pivots = materialise(large.groupBy("bucket").agg(F.array_compact(F.array(*least)).alias("pivots")))
+    kind = "fp binary, sketch binary, near array<binary>, children array<long>"
+    rows = pivots.limit(SENT + 1).collect()
+    if len(rows) <= SENT:
+        shipped = large.sparkSession.sparkContext.broadcast({r.bucket: [{"fp": bytes(p.fp), "sketch": bytes(p.sketch)} for p in r.pivots] for r in rows})
+        swept = large.mapInArrow(lambda b: _canopies(b, shipped), kind)
+    else:
+        swept = large.join(pivots, "bucket").select("bucket", "fp", "sketch", "pivots").mapInArrow(_canopies, kind)
     swept = materialise(swept)
     return swept.select(F.explode("near").alias("a"), F.col("fp").alias("b")), swept.select(F.explode("children").alias("bucket"), "fp", "sketch")
 
@@ -288,8 +301,14 @@ def classes_of(rows: DataFrame) -> DataFrame:
 
 
 def class_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """``members`` (at, ...) with their texts. Copies of a text are merged before the shuffle."""
-    return docs.where("text is not null").groupBy(_address().alias("at")).agg(F.any_value("text").alias("text")).join(members, "at")
+    """``members`` (at, ...) with their texts; where they are few no other text is shuffled.
+
+    Copies of a text are merged before the shuffle.
+    """
+    texts = docs.where("text is not null").select(_address().alias("at"), "text")
+    if members.limit(FEW + 1).count() <= FEW:
+        texts = texts.join(F.broadcast(members.select("at")), "at", "left_semi")
+    return texts.groupBy("at").agg(F.any_value("text").alias("text")).join(members, "at")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -305,7 +324,7 @@ def join(docs: DataFrame) -> DataFrame:
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
     # A block meets every block of its family: tiles (x, y) with x <= y.
     tiles = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y")))
-    members = members.select(F.col("node").alias("fp"), "root", "at", "sketch", "block", tiles.alias("tiles"))
+    members = materialise(members.select(F.col("node").alias("fp"), "root", "at", "sketch", "block", tiles.alias("tiles")))
     tiled = class_texts(docs, members).select("root", F.explode("tiles").alias("t"), "fp", "block", "sketch", "text").select("root", F.col("t.x").alias("x"), F.col("t.y").alias("y"), "fp", "block", "sketch", "text")
     exact = materialise(tiled.groupBy("root", "x", "y").applyInArrow(_exact, "fp binary, links long, root binary"))
     links = exact.groupBy("fp").agg(F.sum("links").alias("n_links"))
