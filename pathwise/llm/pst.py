@@ -2,11 +2,12 @@
 
 A text is the sequence of its words, A-Z lowered, each word spelled in bytes, with a blank between words
 and an end symbol behind the last. The tree holds contexts of up to ``DEPTH`` symbols. A context is a
-candidate if it occurs ``MIN_COUNT`` times, at every size of the corpus; it is retained if its next-symbol distribution diverges from its parent's
-(count times Kullback-Leibler divergence above ``MIN_DIVERGENCE``), or if a retained context ends in
-it. Distributions are smoothed towards the parent's, the root's towards the uniform one. A symbol is
-scored in the state of the longest retained suffix of what precedes it. A word and the symbol that
-closes it are one step; its probability is the tree's, interpolated with the known words' shares.
+candidate if it occurs ``MIN_COUNT`` times, at every size of the corpus; it is retained if its next-symbol
+distribution diverges from its parent's (count times Kullback-Leibler divergence above
+``MIN_DIVERGENCE``), or if a retained context ends in it. Distributions are smoothed towards the parent's,
+the root's towards the uniform one. A symbol is scored in the state of the longest retained suffix of
+what precedes it, end symbols before a text's start. Each state's distribution sums to one, and so do
+the probabilities of all texts.
 
 Counting: each task counts spelled contexts and words of its own texts with sorted arrays and sends sums.
 Growing: the suffix of HEAD_DEPTH + 1 symbols deals the contexts to groups, whose subtrees grow apart on
@@ -20,7 +21,8 @@ word is frequent, no key of that join is hot.
 
 Defined results: a null text is the empty text and has the end alone; a null id is held out, as the CRC
 of the empty string is 0; repeated rows count and are scored each; without training rows every
-distribution is uniform; an empty table gives no rows.
+distribution is uniform; an empty table gives no rows. A text is held by one task, with some 150 bytes
+for each of its own.
 """
 
 from __future__ import annotations
@@ -41,11 +43,10 @@ DEPTH = 5
 MIN_COUNT = 10
 MIN_DIVERGENCE = 2.0
 #: Pseudo-count of the parent's distribution for each distinct next symbol.
-STRENGTH = 1.0
-#: Weight of the tree against the distribution of known words.
-TREE_SHARE = 0.85
+STRENGTH = 2.0
 HEAD_SHARE = 1e-6
-FLUSH = 1 << 20
+#: Half of the words, and a quarter of the contexts, that a task sums up before it sends them.
+FLUSH = 1 << 19
 #: Contexts of up to this depth are in every block; one symbol more makes a group, whose subtree is in one block.
 HEAD_DEPTH = 2
 #: Rows of the tree that are gathered and broadcast at once.
@@ -275,17 +276,6 @@ class Tree:
         """log10 probability of each text by the tree alone."""
         return np.add.reduceat(self.symbols(stream), stream.first[:-1])
 
-    def steps(self, stream: Stream) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each word with its closing symbol, and of each text's bare end (0 if it has words)."""
-        closing = np.flatnonzero((stream.symbols == BLANK) | (stream.symbols == END))
-        each = np.diff(np.cumsum(self.symbols(stream))[closing], prepend=0.0)
-        first = np.searchsorted(closing, stream.first)
-        bare = np.diff(stream.first) == 1
-        ends = np.where(bare, each[first[:-1]], 0.0)
-        words = np.ones(len(each), bool)
-        words[first[:-1][bare]] = False
-        return each[words], ends
-
 
 def _subtrees(batches: Iterable[pa.RecordBatch], shipped, depths: range, min_count: float) -> Iterator[pa.RecordBatch]:
     """Retained nodes (negative) and entries of the groups of a partition, which has all grams of each."""
@@ -355,26 +345,19 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     ends = next((c for w, c in zip(head["w"], head["c"].to_pylist(), strict=True) if not w.as_py()), 0) if head.num_rows else 0
     if not ends:
         ends = (vocabulary.where("w = ''").agg(F.sum("c")).first()[0]) or 0
-    stop = ends / max(1, n - ends)  # share of words that are a text's last
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts, tree = docs.select("doc_id", held.alias("held_out"), "text", F.lit(None).cast("array<double>").alias("part")), next(blocks)
+    texts, tree = docs.select("doc_id", held.alias("held_out"), "text", F.lit(0.0).alias("part")), next(blocks)
     for after in blocks:  # a pass for each block but the last
         part = spark.sparkContext.broadcast(tree)
-        texts = materialise(texts.mapInArrow(lambda b, part=part: _pass(b, part), f"doc_id {kind}, held_out boolean, text string, part array<double>"))
+        texts = materialise(texts.mapInArrow(lambda b, part=part: _pass(b, part), f"doc_id {kind}, held_out boolean, text string, part double"))
+        part.unpersist()
         tree = after
-    shipped = spark.sparkContext.broadcast((tree, *_head(head), denominator, ends, max(1, n - ends)))
-    scored = texts.mapInArrow(
-        lambda b: _score(b, shipped), f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, words string, steps array<float>, last int"
-    )
+    shipped = spark.sparkContext.broadcast((tree, *_head(head), denominator, ends))
+    scored = texts.mapInArrow(lambda b: _score(b, shipped), f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, words string")
     scored = materialise(scored.withColumn("r", F.monotonically_increasing_id()))
-    spelled = F.arrays_zip(F.split("words", " ").alias("w"), F.col("steps").alias("p"))
-    tail = scored.where("words <> ''").select("r", "last", F.posexplode(spelled).alias("i", "x")).select("r", "x.w", "x.p", (F.col("i") == F.col("last")).alias("z"))
+    tail = scored.where("words <> ''").select("r", F.explode(F.split("words", " ")).alias("w"))
     value = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(float(denominator)))
-    share = F.coalesce("c", F.lit(0)) / F.lit(float(max(1, n - ends))) * F.when(F.col("z"), stop).otherwise(1 - stop)
-    step = F.log10((1 - TREE_SHARE) * share + TREE_SHARE * F.pow(F.lit(10.0), F.col("p").cast("double")))
-    tail = tail.join(vocabulary, "w", "left").groupBy("r").agg(
-        F.sum(value).alias("b"), F.count(F.when(F.col("c") > 0, 1)).alias("k"), F.sum(step).alias("s")
-    )
+    tail = tail.join(vocabulary, "w", "left").groupBy("r").agg(F.sum(value).alias("b"), F.count(F.when(F.col("c") > 0, 1)).alias("k"))
     return scored.join(tail, "r", "left").select(
         "doc_id",
         "held_out",
@@ -382,7 +365,7 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         (F.col("known") + F.coalesce("k", F.lit(0))).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("s", F.lit(0.0))).alias("score"),
+        "score",
     )
 
 
@@ -395,57 +378,35 @@ def _head(head: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], values[order]
 
 
-def _steps(tree: Tree, texts: Texts, before: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Tree.steps with what the blocks before gave: for each text its bare end, then its words."""
-    steps, ends = tree.steps(Stream(texts))
-    if before.null_count < len(before):
-        at = np.asarray(before.offsets)
-        flat, head = np.asarray(before.values)[at[0] : at[-1]], at[:-1] - at[0]
-        steps, ends = steps + np.delete(flat, head), ends + flat[head]
-    return steps, ends
-
-
 def _pass(batches: Iterable[pa.RecordBatch], shipped) -> Iterator[pa.RecordBatch]:
-    """Adds a block's steps to those of the blocks before."""
+    """Adds a block's scores to those of the blocks before."""
     for whole in batches:
         for batch in slices(whole, "text"):
-            texts = Texts(batch.column(2))
-            steps, ends = _steps(shipped.value, texts, batch.column(3))
-            first = Words(texts, NONSPACE).first
-            offsets = first + np.arange(len(first))
-            part = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.insert(steps, first[:-1], ends)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], part], ["doc_id", "held_out", "text", "part"])
+            part = shipped.value.score(Stream(Texts(batch.column(2)))) + np.asarray(batch.column(3))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(part)], ["doc_id", "held_out", "text", "part"])
 
 
 def _score(batches: Iterable[pa.RecordBatch], shipped) -> Iterator[pa.RecordBatch]:
-    """Sums over known frequent words, and each text's other occurrences, spelled, for the join."""
-    tree, keys, values, denominator, ends, n_words = shipped.value
-    stop = ends / n_words
+    """Scores, base sums over known frequent words, and each text's other occurrences, spelled, for the join."""
+    tree, keys, values, denominator, ends = shipped.value
     for whole in batches:
         for batch in slices(whole, "text"):
             texts = Texts(batch.column(2))
+            score = tree.score(Stream(texts)) + np.asarray(batch.column(3))
             found = Words(texts, NONSPACE)
             h, m = found.hashes(), len(texts)
-            steps, score = _steps(tree, texts, batch.column(3))
             at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
             known = keys[at] == h if len(keys) else np.zeros(len(h), bool)
             doc = found.doc()
-            final = np.zeros(len(h), bool)
-            final[found.first[1:][found.counts > 0] - 1] = True
             c = values[at[known]] if len(keys) else np.zeros(0)
             base = np.bincount(doc[known], np.log10((c + 0.1) / denominator), m) + math.log10((ends + 0.1) / denominator)
-            share = c / n_words * np.where(final[known], stop, 1 - stop)
-            score += np.bincount(doc[known], np.log10((1 - TREE_SHARE) * share + TREE_SHARE * 10.0 ** steps[known]), m)
             n_known = np.bincount(doc[known], minlength=m) + int(ends > 0)
             rest = np.flatnonzero(~known)
             low, owner = found.lower.tobytes(), doc[rest]
             spelled = [low[a:b] for a, b in zip(found.starts[rest].tolist(), found.ends[rest].tolist(), strict=True)]
             cut = np.searchsorted(owner, np.arange(m + 1)).tolist()
             words = [b" ".join(spelled[a:b]).decode() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            tail_final = np.full(m, -1, np.int32)
-            for k in np.flatnonzero(final[rest]).tolist():
-                tail_final[owner[k]] = k - cut[owner[k]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found.counts + 1, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(score), pa.array(words, pa.string()), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(steps[rest].astype(np.float32))), pa.array(tail_final)],
-                ["doc_id", "held_out", "n_tokens", "known", "base", "score", "words", "steps", "last"],
+                [batch.column(0), batch.column(1), pa.array(found.counts + 1, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(score), pa.array(words, pa.string())],
+                ["doc_id", "held_out", "n_tokens", "known", "base", "score", "words"],
             )

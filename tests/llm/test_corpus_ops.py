@@ -77,6 +77,66 @@ def test_tree_is_a_distribution_and_equals_a_walk(spark, rows):
         assert abs(total - scores[k]) < 1e-3
 
 
+def naive_scores(train, rows):
+    """Scores from dictionaries of contexts, with nothing of the operator's but its constants and symbols."""
+    end, blank = pst.END, pst.BLANK
+
+    def spelled(text):
+        words = [[int(pst.CODE[b]) for b in ascii_lower(x).encode()] + [blank] for x in TOKEN.findall(text or "")]
+        return [*[c for w in words for c in w][:-1], end]
+
+    counts = [defaultdict(Counter) for _ in range(pst.DEPTH + 1)]
+    for text in train:
+        flat = [end] * pst.DEPTH + spelled(text)
+        for i in range(pst.DEPTH, len(flat)):
+            for d in range(pst.DEPTH + 1):
+                counts[d][tuple(flat[i - d : i])][flat[i]] += 1
+    total = sum(counts[0][()].values())
+    prob = {(): {c: (counts[0][()][c] + 0.5) / (total + 0.5 * pst.SYMBOLS) for c in range(pst.SYMBOLS)}}
+    share, strong = {}, set()
+    for d in range(1, pst.DEPTH + 1):
+        for ctx, seen in counts[d].items():
+            n = sum(seen.values())
+            if n < pst.MIN_COUNT:
+                continue
+            weight, up = pst.STRENGTH * len(seen), {c: look(prob, share, ctx[1:], c) for c in seen}
+            prob[ctx], share[ctx] = {c: (k + weight * up[c]) / (n + weight) for c, k in seen.items()}, weight / (n + weight)
+            unseen = max(0.0, 1 - sum(up.values()))
+            gain = n * (sum(p * math.log(p / up[c]) for c, p in prob[ctx].items()) + share[ctx] * math.log(share[ctx]) * unseen)
+            if gain >= pst.MIN_DIVERGENCE:
+                strong |= {ctx[k:] for k in range(d)}
+    out = []
+    for text in rows:
+        past, score = [end] * pst.DEPTH, 0.0
+        for c in spelled(text):
+            state = next(tuple(past[-d:]) if d else () for d in range(pst.DEPTH, -1, -1) if not d or tuple(past[-d:]) in strong)
+            score += math.log10(look(prob, share, state, c) / (pst._CONTROLS if c == pst.CONTROL else 1))
+            past.append(c)
+        out.append(score)
+    return out
+
+
+def look(prob, share, ctx, c):
+    """A symbol's probability in a context: its own, or the parent's in its share."""
+    p = 1.0
+    while c not in prob[ctx]:
+        p *= share[ctx]
+        ctx = ctx[1:]
+    return p * prob[ctx][c]
+
+
+def test_scores_equal_an_independent_tree(spark, rows):
+    some = rows[:80] + [(k, t) for k, t in edge_rows() if len(t or "") < 1000] + [(90_001, "a\x01b \x02"), (90_003, "Ünï ünï ünï")]
+    train = [t for k, t in some if crc("" if k is None else k) % 10]
+    got = Counter((r.doc_id, round(r.score, 2)) for r in pst.score(docs(spark, some)).collect())
+    want = naive_scores(train, [t for _, t in some])
+    assert len(got) > 80
+    left = sorted(got.elements(), key=lambda x: (str(x[0]), x[1]))
+    right = sorted(((k, s) for (k, _), s in zip(some, want, strict=True)), key=lambda x: (str(x[0]), x[1]))
+    for (a, x), (b, y) in zip(left, right, strict=True):
+        assert a == b and abs(x - y) < 0.02 + 1e-5 * abs(y)
+
+
 def test_scores_of_empty_tables(spark):
     assert pst.score(docs(spark, [])).count() == 0
     assert pst.score(docs(spark, [(11, "held out only")])).count() == 1
@@ -190,6 +250,38 @@ def test_keep_one(spark, rows):
     assert Counter(r.doc_id for r in out.collect()) == want
 
 
+def test_null_and_repeated_ids_cost_a_row_each(spark):
+    """Near copies without ids, or of one id, send each class's text once to its family."""
+    rng = random.Random(5)
+    nameless = [(None, t) for _, t in family(rng, 40, 90, 4, 0)]
+    same = [(7, t) for _, t in family(rng, 40, 90, 4, 1000)]
+    frame = docs(spark, nameless + same + same[:10] * 3)
+    assert Counter(map(tuple, near_dup.join(frame).collect())) == brute_join(nameless + same + same[:10] * 3)
+    rows = near_dup.sketched(frame)
+    members = near_dup.classes_of(rows).select("fp", "at")
+    assert near_dup.class_texts(frame, members).count() == members.count() == len({t for _, t in nameless + same})
+
+
+def test_a_group_between_the_thresholds_ends(spark, monkeypatch):
+    """Sets too unlike to settle and too many for a bucket are split until their nodes are small."""
+    rng = random.Random(12)
+    common = [f"c{i}" for i in range(60)]
+    rows = [(k, " ".join([*common, *(f"u{k}x{j}" for j in range(rng.randrange(35, 60)))])) for k in range(90)]
+    rows += [(1000 + k, t + " end") for k, t in rows[:20]]
+    monkeypatch.setattr(near_dup, "BUCKET", 8)
+    assert Counter(map(tuple, near_dup.join(docs(spark, rows)).collect())) == brute_join(rows)
+
+
+def test_contracted_edges_are_fewer_than_nodes(spark):
+    from pathwise.llm.components import contracted
+
+    rng = random.Random(2)
+    edges = [(rng.randrange(12), 100 + k) for k in range(400) for _ in range(15)]
+    out = contracted(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()
+    assert len(out) <= 412 + 12 * 8
+    assert all(r.a < r.b for r in out)
+
+
 def test_join_of_an_empty_table(spark):
     assert near_dup.join(docs(spark, [])).count() == 0
     assert near_dup.keep_one(docs(spark, [])).count() == 0
@@ -250,6 +342,10 @@ def test_secrets_equal_the_sql(spark):
     assert Counter(c.execute(secret_scan.oracle()).fetchall()) == Counter((k, *brute_secrets(t)) for k, t in SECRETS)
 
 
+def found(ledger, rules=secret_scan.RULES):
+    return {bytes(r.blob): [(s.start, rules[s.kind].name, s.end) for s in r.spans] for r in secret_scan.findings(ledger, rules).collect()}
+
+
 def test_ledger_scans_only_what_it_lacks(spark):
     first = docs(spark, SECRETS[:3])
     ledger = secret_scan.extend(first, None, secret_scan.RULES[:2]).checkpoint()
@@ -259,9 +355,46 @@ def test_ledger_scans_only_what_it_lacks(spark):
     for r in new:
         stamps = {s.split("@")[0] for s in r.scanned}
         assert stamps == ({"hex", "pem", "jwt"} if bytes(r.blob) in done else {x.name for x in secret_scan.RULES})
-    merged = {bytes(r.blob): [(s.start, s.kind, s.end) for s in r.spans] for r in secret_scan.findings(secret_scan.extend(docs(spark, SECRETS), ledger)).collect()}
-    whole = {bytes(r.blob): [(s.start, s.kind, s.end) for s in r.spans] for r in secret_scan.findings(secret_scan.scan(docs(spark, SECRETS))).collect()}
-    assert merged == whole
+    assert found(secret_scan.extend(docs(spark, SECRETS), ledger)) == found(secret_scan.scan(docs(spark, SECRETS)))
+
+
+def test_patterns_are_not_run_on_seen_blobs(spark, monkeypatch):
+    """A ledger that says of every blob that nothing is in it is believed, whether the unseen ones are broadcast or shuffled."""
+    frame = docs(spark, SECRETS)
+    ledger = secret_scan.scan(docs(spark, SECRETS[:3])).withColumn("spans", F.slice("spans", 1, 0)).checkpoint()
+    for asked in (secret_scan.ASKED, 0):
+        monkeypatch.setattr(secret_scan, "ASKED", asked)
+        got = Counter((r.doc_id, r.spans) for r in secret_scan.report(frame, ledger=ledger).collect())
+        assert got == Counter((k, "" if i < 3 else brute_secrets(t)[-1]) for i, (k, t) in enumerate(SECRETS))
+
+
+def test_a_bumped_rule_leaves_no_span_of_its_former_version(spark):
+    frame, (assign, access, hex_, *more) = docs(spark, SECRETS), secret_scan.RULES
+    ledger = secret_scan.extend(frame, None).checkpoint()
+    bumped = (assign, access, hex_._replace(version=2, pattern="[0-9a-f]{40,}"), *more)
+    new = secret_scan.scan(frame, ledger, bumped).collect()
+    assert new and all(r.scanned == ["hex@2"] for r in new)
+    both = secret_scan.extend(frame, ledger, bumped).checkpoint()
+    assert found(both, bumped) == found(secret_scan.scan(frame, None, bumped), bumped) != found(ledger)
+    assert found(both) == found(ledger)  # the former version's findings are still there
+
+
+def test_a_removed_rule_and_another_order_change_names_of_nothing(spark):
+    frame, rules = docs(spark, SECRETS), secret_scan.RULES
+    ledger = secret_scan.extend(frame, None).checkpoint()
+    for some in (rules[:2] + rules[3:], rules[::-1], rules[2:] + rules[:2], ()):
+        assert secret_scan.scan(frame, ledger, some).count() == 0
+        assert found(ledger, some) == found(secret_scan.scan(frame, None, some), some)
+    got = {r.doc_id: r.spans for r in secret_scan.report(frame, rules[::-1], ledger).collect()}
+    want = {r.doc_id: r.spans for r in secret_scan.report(frame, rules[::-1]).collect()}
+    assert got == want and "assign:" in got[1]
+
+
+def test_redaction_reads_a_ledger(spark):
+    frame = docs(spark, [*SECRETS, (70, "x" * 30)])
+    ledger = secret_scan.extend(docs(spark, SECRETS[:4]), None, secret_scan.RULES[:3]).checkpoint()
+    key = lambda r: (str(r.doc_id), str(r.text))
+    assert sorted(map(key, secret_scan.redact(frame, ledger=ledger).collect())) == sorted(map(key, secret_scan.redact(frame).collect()))
 
 
 def test_redaction(spark, rows):
