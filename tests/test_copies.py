@@ -46,6 +46,7 @@ def talks(spark, tmp_path_factory):
 SETTLED: dict[str, int] = {
     "clara": 0,
     "dissimilarity_tree": -1,
+    "hierarchical_average": 0,
 }
 
 
@@ -90,3 +91,20 @@ def test_tree_of_copies(spark):
     covariates = np.array([[len(w), k % 2] for k, w in enumerate(words)])
     a, b = (discrepancy.dissimilarity_tree(x, covariates, ["turns", "parity"]) for x in (dm, single(dm)))
     assert a.rows == b.rows and a.leaf_labels.tolist() == b.leaf_labels.tolist() and len(a.rows) > 3
+
+
+def check_linkage(spark, method):
+    for seed in (1, 2):
+        dm = distances.compute(pool(spark, *some(50, seed)), "om")
+        a, b = (clustering.hierarchical_clustering(x, 4, method) for x in (dm, single(dm)))
+        assert len(dm.classes.size) < 50 and a.linkage_matrix.tolist() == b.linkage_matrix.tolist() and a.labels.tolist() == b.labels.tolist()
+
+
+def test_average_linkage_of_copies(spark):
+    check_linkage(spark, "average")
+
+
+def test_linkage_where_unlike_sequences_are_0_apart(spark):
+    dm = distances.compute(pool(spark, "AB", "ABAB", "A", "AB", "C", "CA", "C"), "euclidean")
+    a, b = (clustering.hierarchical_clustering(x, 3, "average") for x in (dm, single(dm)))
+    assert a.linkage_matrix.tolist() == b.linkage_matrix.tolist()
