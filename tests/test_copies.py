@@ -47,6 +47,7 @@ SETTLED: dict[str, int] = {
     "clara": 0,
     "dissimilarity_tree": -1,
     "hierarchical_average": 0,
+    "hierarchical_single": 0,
 }
 
 
@@ -108,3 +109,7 @@ def test_linkage_where_unlike_sequences_are_0_apart(spark):
     dm = distances.compute(pool(spark, "AB", "ABAB", "A", "AB", "C", "CA", "C"), "euclidean")
     a, b = (clustering.hierarchical_clustering(x, 3, "average") for x in (dm, single(dm)))
     assert a.linkage_matrix.tolist() == b.linkage_matrix.tolist()
+
+
+def test_single_linkage_of_copies(spark):
+    check_linkage(spark, "single")
