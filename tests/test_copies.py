@@ -48,6 +48,7 @@ SETTLED: dict[str, int] = {
     "dissimilarity_tree": -1,
     "hierarchical_average": 0,
     "hierarchical_single": 0,
+    "multi_factor_discrepancy": 2,
 }
 
 
@@ -113,3 +114,12 @@ def test_linkage_where_unlike_sequences_are_0_apart(spark):
 
 def test_single_linkage_of_copies(spark):
     check_linkage(spark, "single")
+
+
+def test_permutations_of_copies(spark):
+    dm = distances.compute(pool(spark, *some(40, 5)), "om")
+    factors = {"parity": [x % 2 for x in dm.labels], "third": [x % 3 for x in dm.labels]}
+    a, b = (discrepancy.multi_factor_discrepancy(x, factors, 49, 1) for x in (dm, single(dm)))
+    assert len(dm.classes.size) < 40
+    for k in factors:
+        assert a[k].p_value == b[k].p_value and (a[k].pseudo_f, a[k].ss_within, a[k].ss_total) == pytest.approx((b[k].pseudo_f, b[k].ss_within, b[k].ss_total))
