@@ -49,6 +49,7 @@ SETTLED: dict[str, int] = {
     "hierarchical_average": 0,
     "hierarchical_single": 0,
     "multi_factor_discrepancy": 2,
+    "pam_inits": 3,
 }
 
 
@@ -123,3 +124,10 @@ def test_permutations_of_copies(spark):
     assert len(dm.classes.size) < 40
     for k in factors:
         assert a[k].p_value == b[k].p_value and (a[k].pseudo_f, a[k].ss_within, a[k].ss_total) == pytest.approx((b[k].pseudo_f, b[k].ss_within, b[k].ss_total))
+
+
+def test_a_copy_of_a_medoid_may_be_the_next_one(spark):
+    dm = distances.compute(pool(spark, "AB", "AB", "AB", "C", "AB"), "om")
+    for k in (3, 4, 5):
+        a, b = (clustering.pam_clustering(x, k) for x in (dm, single(dm)))
+        assert a.medoid_indices.tolist() == b.medoid_indices.tolist() and a.labels.tolist() == b.labels.tolist()
