@@ -50,6 +50,7 @@ SETTLED: dict[str, int] = {
     "hierarchical_single": 0,
     "multi_factor_discrepancy": 2,
     "pam_inits": 3,
+    "representatives_by_cluster": 6,
 }
 
 
@@ -131,3 +132,11 @@ def test_a_copy_of_a_medoid_may_be_the_next_one(spark):
     for k in (3, 4, 5):
         a, b = (clustering.pam_clustering(x, k) for x in (dm, single(dm)))
         assert a.medoid_indices.tolist() == b.medoid_indices.tolist() and a.labels.tolist() == b.labels.tolist()
+
+
+@pytest.mark.parametrize("strategy", ["centrality", "frequency", "density"])
+def test_representatives_by_cluster_of_copies(spark, strategy):
+    dm = distances.compute(pool(spark, *some(50, 6)), "om")
+    labels = [x % 3 for x in dm.labels]
+    a, b = (clustering.extract_representatives(x, 7, strategy, labels) for x in (dm, single(dm)))
+    assert len(dm.classes.size) < 50 and a.indices.tolist() == b.indices.tolist() and a.scores == pytest.approx(b.scores)
