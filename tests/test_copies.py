@@ -51,6 +51,7 @@ SETTLED: dict[str, int] = {
     "multi_factor_discrepancy": 2,
     "pam_inits": 3,
     "representatives_by_cluster": 6,
+    "distance_matrix": 1,
 }
 
 
@@ -140,3 +141,10 @@ def test_representatives_by_cluster_of_copies(spark, strategy):
     labels = [x % 3 for x in dm.labels]
     a, b = (clustering.extract_representatives(x, 7, strategy, labels) for x in (dm, single(dm)))
     assert len(dm.classes.size) < 50 and a.indices.tolist() == b.indices.tolist() and a.scores == pytest.approx(b.scores)
+
+
+def test_classes_of_a_matrix(spark):
+    dm = distances.compute(pool(spark, *some(40, 7)), "om")
+    c = dm.classes
+    assert np.array_equal(c.dense[np.ix_(c.of, c.of)], dm.values) and c.size.sum() == 40 == dm.n and len(set(c.of)) == len(c.size)
+    assert c.of[c.first].tolist() == list(range(len(c.size))) and distances.compute(pool(spark, "AB", "AB"), "softdtw").classes.size.tolist() == [1, 1]
