@@ -52,6 +52,7 @@ SETTLED: dict[str, int] = {
     "pam_inits": 3,
     "representatives_by_cluster": 6,
     "distance_matrix": 1,
+    "hierarchical_class": 0,
 }
 
 
@@ -148,3 +149,9 @@ def test_classes_of_a_matrix(spark):
     c = dm.classes
     assert np.array_equal(c.dense[np.ix_(c.of, c.of)], dm.values) and c.size.sum() == 40 == dm.n and len(set(c.of)) == len(c.size)
     assert c.of[c.first].tolist() == list(range(len(c.size))) and distances.compute(pool(spark, "AB", "AB"), "softdtw").classes.size.tolist() == [1, 1]
+
+
+def test_the_class_of_linkage_with_copies(spark):
+    dm = distances.compute(pool(spark, *some(30, 8)), "om")
+    a, b = (clustering.HierarchicalClustering(3, "average").fit(x) for x in (dm, single(dm)))
+    assert len(dm.classes.size) < 30 and a.labels_.tolist() == b.labels_.tolist()
