@@ -53,6 +53,7 @@ SETTLED: dict[str, int] = {
     "representatives_by_cluster": 6,
     "distance_matrix": 1,
     "hierarchical_class": 0,
+    "hierarchical_ward": 0,
 }
 
 
@@ -155,3 +156,7 @@ def test_the_class_of_linkage_with_copies(spark):
     dm = distances.compute(pool(spark, *some(30, 8)), "om")
     a, b = (clustering.HierarchicalClustering(3, "average").fit(x) for x in (dm, single(dm)))
     assert len(dm.classes.size) < 30 and a.labels_.tolist() == b.labels_.tolist()
+
+
+def test_ward_linkage_of_copies(spark):
+    check_linkage(spark, "ward")
