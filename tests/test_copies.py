@@ -54,6 +54,7 @@ SETTLED: dict[str, int] = {
     "distance_matrix": 1,
     "hierarchical_class": 0,
     "hierarchical_ward": 0,
+    "pam_predict": 0,
 }
 
 
@@ -160,3 +161,11 @@ def test_the_class_of_linkage_with_copies(spark):
 
 def test_ward_linkage_of_copies(spark):
     check_linkage(spark, "ward")
+
+
+def test_predict_for_copies(spark):
+    dm = distances.compute(pool(spark, *some(50, 9)), "om")
+    model = clustering.PAMClustering(3).fit(dm)
+    assert model.predict(dm).tolist() == model.predict(dm.values).tolist() == model.labels_.tolist()
+    with pytest.raises(ValueError):
+        model.predict(distances.compute(pool(spark, "AB"), "om"))
