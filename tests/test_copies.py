@@ -169,3 +169,14 @@ def test_predict_for_copies(spark):
     assert model.predict(dm).tolist() == model.predict(dm.values).tolist() == model.labels_.tolist()
     with pytest.raises(ValueError):
         model.predict(distances.compute(pool(spark, "AB"), "om"))
+
+
+@pytest.mark.parametrize("strategy", ["centrality", "frequency", "density"])
+@pytest.mark.parametrize("n", [1, 2, 41, 60])
+def test_representatives_need_no_pairs_of_ids(spark, monkeypatch, strategy, n):
+    p = pool(spark, *some(n, n))
+    long = clustering.representatives_frame(distances.compute(p, "euclidean").pairs, strategy, 9).collect()
+    monkeypatch.setattr(distances, "BLOCK", 3)
+    monkeypatch.setattr(distances, "tile_pairs", None)
+    got = clustering.representatives_frame(distances.compute(p, "euclidean"), strategy, 9).collect()
+    assert [r.id for r in got] == [r.id for r in long] and [r.score for r in got] == pytest.approx([r.score for r in long])
