@@ -55,6 +55,7 @@ SETTLED: dict[str, int] = {
     "hierarchical_class": 0,
     "hierarchical_ward": 0,
     "pam_predict": 0,
+    "discrepancy_permutation": 1,
 }
 
 
@@ -180,3 +181,11 @@ def test_representatives_need_no_pairs_of_ids(spark, monkeypatch, strategy, n):
     monkeypatch.setattr(distances, "tile_pairs", None)
     got = clustering.representatives_frame(distances.compute(p, "euclidean"), strategy, 9).collect()
     assert [r.id for r in got] == [r.id for r in long] and [r.score for r in got] == pytest.approx([r.score for r in long])
+
+
+def test_draws_go_by_the_md5_of_seed_and_place():
+    import hashlib
+
+    draws = clustering.Draws(5)
+    for drawn in range(2):
+        assert draws.order(300).tolist() == sorted(range(300), key=lambda i: hashlib.md5(f"5:{drawn}:{i}".encode()).digest())
