@@ -56,6 +56,7 @@ SETTLED: dict[str, int] = {
     "hierarchical_ward": 0,
     "pam_predict": 0,
     "discrepancy_permutation": 1,
+    "hierarchical_complete": 0,
 }
 
 
@@ -189,3 +190,7 @@ def test_draws_go_by_the_md5_of_seed_and_place():
     draws = clustering.Draws(5)
     for drawn in range(2):
         assert draws.order(300).tolist() == sorted(range(300), key=lambda i: hashlib.md5(f"5:{drawn}:{i}".encode()).digest())
+
+
+def test_complete_linkage_of_copies(spark):
+    check_linkage(spark, "complete")
