@@ -57,6 +57,7 @@ SETTLED: dict[str, int] = {
     "pam_predict": 0,
     "discrepancy_permutation": 1,
     "hierarchical_complete": 0,
+    "matrix_quality": 0,
 }
 
 
@@ -194,3 +195,10 @@ def test_draws_go_by_the_md5_of_seed_and_place():
 
 def test_complete_linkage_of_copies(spark):
     check_linkage(spark, "complete")
+
+
+def test_quality_of_a_matrix_of_copies(spark):
+    dm = distances.compute(pool(spark, *some(50, 10)), "om")
+    labels, alone = [x % 3 for x in dm.labels], single(dm)
+    assert len(dm.classes.size) < 50
+    assert clustering.silhouette_scores(dm, labels) == pytest.approx(clustering.silhouette_scores(alone, labels)) and clustering.distance_to_center(dm, labels) == pytest.approx(clustering.distance_to_center(alone, labels))
