@@ -202,3 +202,17 @@ def test_quality_of_a_matrix_of_copies(spark):
     labels, alone = [x % 3 for x in dm.labels], single(dm)
     assert len(dm.classes.size) < 50
     assert clustering.silhouette_scores(dm, labels) == pytest.approx(clustering.silhouette_scores(alone, labels)) and clustering.distance_to_center(dm, labels) == pytest.approx(clustering.distance_to_center(alone, labels))
+
+
+def test_pair_functions_compare_different_sequences_once(spark):
+    p = pool(spark, *some(60, 2))
+    seqs, _, n, *_ = distances.coded(p)
+    codes = {r.id: r.codes for r in seqs.collect()}
+
+    def counted(codes):
+        assert len({tuple(c) for c in codes}) <= len(WORDS) and len(codes) <= 2 * len(WORDS)
+        return lambda i, j: np.array([distances.lcs_similarity(codes[x], codes[y]) for x, y in zip(i, j)], float)
+
+    got = distances.tile_pairs(seqs, n, {"v": counted, "w": lambda codes: lambda i, j: np.zeros(len(i))}, symmetric=True, digits=6).collect()
+    assert {(r.id_a, r.id_b): r.v for r in got} == {(a, b): round(distances.lcs_similarity(codes[a], codes[b]), 6) for a in codes for b in codes if a < b}
+    assert len(got) == 60 * 59 // 2
