@@ -216,3 +216,24 @@ def test_pair_functions_compare_different_sequences_once(spark):
     got = distances.tile_pairs(seqs, n, {"v": counted, "w": lambda codes: lambda i, j: np.zeros(len(i))}, symmetric=True, digits=6).collect()
     assert {(r.id_a, r.id_b): r.v for r in got} == {(a, b): round(distances.lcs_similarity(codes[a], codes[b]), 6) for a in codes for b in codes if a < b}
     assert len(got) == 60 * 59 // 2
+
+
+EQUAL = ("ABC", "AAC", "BCC", "CCC", "ABB", "AAA")
+
+
+def check_pairs(spark, monkeypatch, method, naive, words, **options):
+    """All pairs of ids, rounded, in blocks that split groups of copies; blocks are sent as their different sequences."""
+    monkeypatch.setattr(distances, "BLOCK", 7)
+    p = pool(spark, *words)
+    seqs, k, n, *_ = distances.coded(p)
+    codes = {r.id: r.codes for r in seqs.collect()}
+    got = distances.compute(p, method, **options).rounded_pairs(6).collect()
+    want = {(a, b): naive(codes[a], codes[b], k) for a in codes for b in codes if a < b}
+    assert len(got) == len(want) and {(r.id_a, r.id_b): r.distance for r in got} == pytest.approx(want, abs=6e-7)
+    g, _ = distances.grid(n, spark.sparkContext.defaultParallelism)
+    assert distances.tiled(distances.placed(seqs.select("id", "codes"), "codes", "id"), n, "id").count() <= g * g < n * g
+
+
+def test_hamming_of_copies(spark, monkeypatch):
+    words = [EQUAL[x % 4 if x % 5 else 4 + x % 2] for x in range(60)]
+    check_pairs(spark, monkeypatch, "hamming", lambda a, b, k: distances.hamming_distance(a, b), words)
