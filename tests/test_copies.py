@@ -237,3 +237,7 @@ def check_pairs(spark, monkeypatch, method, naive, words, **options):
 def test_hamming_of_copies(spark, monkeypatch):
     words = [EQUAL[x % 4 if x % 5 else 4 + x % 2] for x in range(60)]
     check_pairs(spark, monkeypatch, "hamming", lambda a, b, k: distances.hamming_distance(a, b), words)
+
+
+def test_rlcp_of_copies(spark, monkeypatch):
+    check_pairs(spark, monkeypatch, "rlcp", lambda a, b, k: distances.rlcp_distance(a, b), some(60, 11))
