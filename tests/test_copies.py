@@ -251,3 +251,7 @@ def test_rounding_is_that_of_spark(spark):
     x = [0.1234565, 2.5e-7, 5e-7, 1.0000005, 0.3, -0.0000015, 1e-9, 12345.6789015, math.inf, 1 / 3]
     rows = spark.createDataFrame(list(enumerate(x)), "i long, x double").select("i", F.round("x", 6).alias("r")).orderBy("i").collect()
     assert distances.rounded(np.array(x), 6).tolist() == [r.r for r in rows]
+
+
+def test_lcp_of_copies(spark, monkeypatch):
+    check_pairs(spark, monkeypatch, "lcp", lambda a, b, k: distances.lcp_distance(a, b, normalize=True), some(60, 13), normalize=True)
