@@ -255,3 +255,9 @@ def test_rounding_is_that_of_spark(spark):
 
 def test_lcp_of_copies(spark, monkeypatch):
     check_pairs(spark, monkeypatch, "lcp", lambda a, b, k: distances.lcp_distance(a, b, normalize=True), some(60, 13), normalize=True)
+
+
+def test_dhd_of_copies(spark, monkeypatch):
+    words = [EQUAL[x % 4 if x % 5 else 4 + x % 2] for x in range(60)]
+    costs = distances.position_costs(pool(spark, *words))
+    check_pairs(spark, monkeypatch, "dhd", lambda a, b, k: distances.dhd_distance(a, b, position_costs=costs), words)
