@@ -261,3 +261,7 @@ def test_dhd_of_copies(spark, monkeypatch):
     words = [EQUAL[x % 4 if x % 5 else 4 + x % 2] for x in range(60)]
     costs = distances.position_costs(pool(spark, *words))
     check_pairs(spark, monkeypatch, "dhd", lambda a, b, k: distances.dhd_distance(a, b, position_costs=costs), words)
+
+
+def test_euclidean_of_copies(spark, monkeypatch):
+    check_pairs(spark, monkeypatch, "euclidean", lambda a, b, k: distances.euclidean_distance(a, b, k), some(60, 14))
