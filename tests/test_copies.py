@@ -265,3 +265,14 @@ def test_dhd_of_copies(spark, monkeypatch):
 
 def test_euclidean_of_copies(spark, monkeypatch):
     check_pairs(spark, monkeypatch, "euclidean", lambda a, b, k: distances.euclidean_distance(a, b, k), some(60, 14))
+
+
+def test_unit_costs_of_copies(spark, monkeypatch):
+    check_pairs(spark, monkeypatch, "om", lambda a, b, k: distances.optimal_matching_distance(a, b, sub_cost=1.0), some(60, 15), sub_cost=1.0)
+
+
+def test_edit_distance_by_bits():
+    rng = random.Random(3)
+    a, b = ([np.array([rng.randrange(4) for _ in range(rng.choice((0, 1, 5, 63, 64, 65, 130)))], int) for _ in range(60)] for _ in range(2))
+    t = Batch(a, b)
+    assert np.array_equal(levenshtein(t, 4), distances.KERNELS["om"](t, 4, sub_cost=1.0))
