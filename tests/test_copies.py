@@ -310,3 +310,17 @@ def test_edit_distance_by_bits():
     a, b = ([np.array([rng.randrange(4) for _ in range(rng.choice((0, 1, 5, 63, 64, 65, 130)))], int) for _ in range(60)] for _ in range(2))
     t = Batch(a, b)
     assert np.array_equal(levenshtein(t, 4), distances.KERNELS["om"](t, 4, sub_cost=1.0))
+
+
+#: Metrics whose tasks send pairs by class, and their options.
+PACKED: dict[str, dict] = {
+    "hamming": {},
+}
+
+
+@pytest.mark.parametrize("method", sorted(PACKED))
+def test_tasks_send_pairs_by_class(spark, method):
+    p = pool(spark, *[EQUAL[x // 100] for x in range(200)])
+    source = distances.compute(p, method, **PACKED[method]).source
+    assert source.metric and sent(distances.tile_rows(source.seqs, source.n, {"d": source.pairwise}, True, 6)) < 200 * 199 // 2 // 2
+    assert source.pairs(6).distinct().count() == 200 * 199 // 2
