@@ -315,6 +315,7 @@ def test_edit_distance_by_bits():
 #: Metrics whose tasks send pairs by class, and their options.
 PACKED: dict[str, dict] = {
     "hamming": {},
+    "rlcp": {},
 }
 
 
