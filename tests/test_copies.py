@@ -316,6 +316,7 @@ def test_edit_distance_by_bits():
 PACKED: dict[str, dict] = {
     "hamming": {},
     "rlcp": {},
+    "chi2": {},
 }
 
 
