@@ -317,6 +317,7 @@ PACKED: dict[str, dict] = {
     "hamming": {},
     "rlcp": {},
     "chi2": {},
+    "lcp": {},
 }
 
 
