@@ -318,6 +318,7 @@ PACKED: dict[str, dict] = {
     "rlcp": {},
     "chi2": {},
     "lcp": {},
+    "dhd": {},
 }
 
 
