@@ -319,6 +319,7 @@ PACKED: dict[str, dict] = {
     "chi2": {},
     "lcp": {},
     "dhd": {},
+    "euclidean": {},
 }
 
 
