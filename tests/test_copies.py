@@ -320,6 +320,7 @@ PACKED: dict[str, dict] = {
     "lcp": {},
     "dhd": {},
     "euclidean": {},
+    "om": {"sub_cost": 1.0},
 }
 
 
