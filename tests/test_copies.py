@@ -351,3 +351,8 @@ def test_pairs_of_ids_that_are_strings(spark):
     got = distances.compute(SequencePool(spark.createDataFrame(rows, "id string, time long, state string")), "lcp").rounded_pairs(6)
     assert not any(f.nullable for f in got.schema)
     assert {(r.id_a, r.id_b): r.distance for r in got.collect()} == {(f"k{i:03}", f"k{j:03}"): distances.lcp_distance(words[i], words[j]) for i in range(40) for j in range(i + 1, 40)}
+
+
+def test_the_steps_of_a_day_are_made_once(spark, sf_dir):
+    plan = catalog.hours(spark, sf_dir).base._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and "parquet" not in plan.lower()
