@@ -282,6 +282,11 @@ def test_chi2_of_copies(spark, monkeypatch):
     check_pairs(spark, monkeypatch, "chi2", lambda a, b, k: distances.chi2_distance(a, b, k), some(60, 12))
 
 
+def test_large_pools_are_written_in_fewer_files():
+    assert distances.grid(90_000, 6) == (88, 244)
+    assert distances.grid(90_000, 60) == (88, 1920)
+
+
 def test_rounding_is_that_of_spark(spark):
     x = [0.1234565, 2.5e-7, 5e-7, 1.0000005, 0.3, -0.0000015, 1e-9, 12345.6789015, math.inf, 1 / 3]
     rows = spark.createDataFrame(list(enumerate(x)), "i long, x double").select("i", F.round("x", 6).alias("r")).orderBy("i").collect()
