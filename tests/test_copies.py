@@ -350,6 +350,17 @@ def test_written_pairs_keep_no_null_levels(spark, sf_dir, tmp_path, name):
     assert again.where("id_a < id_b and distance is not null").distinct().count() == n * (n - 1) // 2
 
 
+@pytest.mark.parametrize("method", ["chi2", "euclidean", "om"])
+def test_pairs_of_a_packed_row_are_not_held_at_once(spark, method):
+    p = pool(spark, *[EQUAL[x // 10] for x in range(20)])
+    pairs = distances.compute(p, method, **PACKED[method]).source.pairs(6)
+    assert len(pairs.collect()) == 20 * 19 // 2
+    plan = pairs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    explodes = [line.strip(" +-:") for line in plan.split("\n") if "Generate" in line and "ids_" in line]
+    assert [line.startswith("*") for line in explodes if "posexplode" in line] == [True]
+    assert [line.startswith("*") for line in explodes if "posexplode" not in line] == [False]
+
+
 def test_pairs_of_ids_that_are_strings(spark):
     words = some(40, 6)
     rows = [(f"k{i:03}", t, s) for i, w in enumerate(words) for t, s in enumerate(w)]
