@@ -372,3 +372,19 @@ def test_pairs_of_ids_that_are_strings(spark):
 def test_the_steps_of_a_day_are_made_once(spark, sf_dir):
     plan = catalog.hours(spark, sf_dir).base._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan and "parquet" not in plan.lower()
+
+
+#: Metrics whose written pairs take few bytes, and their options.
+SMALL_RESULTS: dict[str, dict] = {"euclidean": {}}
+
+
+@pytest.mark.parametrize("method", sorted(SMALL_RESULTS))
+def test_ids_of_written_pairs_take_few_bytes(spark, tmp_path, monkeypatch, method):
+    monkeypatch.setattr(distances, "TILES_A_CORE", 1)
+    words = F.array(*(F.array(*map(F.lit, w)) for w in EQUAL))
+    rows = spark.range(2048).select("id", F.posexplode(words[(F.col("id") % 6).cast("int")]).alias("time", "state"))
+    pairs = distances.compute(SequencePool(rows.withColumn("time", F.col("time").cast("long"))), method, **SMALL_RESULTS[method]).rounded_pairs(6)
+    pairs.write.parquet(str(tmp_path / "out"))
+    groups = [m.row_group(g) for f in (tmp_path / "out").glob("*.parquet") for m in [pq.ParquetFile(f).metadata] for g in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 2048 * 2047 // 2 == spark.read.parquet(str(tmp_path / "out")).distinct().count()
+    assert sum(g.column(c).total_compressed_size for g in groups for c in range(2)) < 0.27 * 2048 * 2047 // 2
