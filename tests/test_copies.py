@@ -375,7 +375,7 @@ def test_the_steps_of_a_day_are_made_once(spark, sf_dir):
 
 
 #: Metrics whose written pairs take few bytes, and their options.
-SMALL_RESULTS: dict[str, dict] = {"euclidean": {}, "chi2": {}, "dhd": {}}
+SMALL_RESULTS: dict[str, dict] = {"euclidean": {}, "chi2": {}, "dhd": {}, "om": {"sub_cost": 1.0}}
 
 
 @pytest.mark.parametrize("method", sorted(SMALL_RESULTS))
